@@ -39,3 +39,17 @@ def map_text(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | No
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def filter_text(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows of ``df`` for which ``keep`` says so, with all columns as they are; no shuffle."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, column):
+                out = piece.filter(pa.array(keep(piece), pa.bool_()))
+                if out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, df.schema)

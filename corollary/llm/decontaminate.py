@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import map_text
+from .arrowmap import filter_text, map_text
 from .bytescan import LETTERS_DIGITS, column_bytes, sequence_hash, words
 
 #: Bytes of test texts up to which the windows are broadcast; above, they are joined by hash.
@@ -124,13 +124,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     documents means no rows. Other columns, of whatever name, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    tests = _usable(items)
+    shared = _shared_windows(tests, size, limit)
+    if shared is None:
+        return _joined(rows, tests, size)
+    return map_text(rows, lambda batch: _search(batch, shared.value, slop, share), SCHEMA)
+
+
+def _usable(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _shared_windows(tests: DataFrame, size: int, limit: int):
+    """Broadcast windows of the test texts, or None if these have more than ``limit`` bytes."""
     weight = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if weight > limit:
-        return _joined(rows, tests, size)
+        return None
     windows = Windows([(r["item_id"], r["text"]) for r in tests.collect()], size)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    return map_text(rows, lambda batch: _search(batch, shared.value, slop, share), SCHEMA)
+    return tests.sparkSession.sparkContext.broadcast(windows)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no test window occurs."""
+    tests = _usable(items)
+    shared = _shared_windows(tests, size, limit)
+    if shared is not None:
+        return filter_text(docs, lambda batch: ~np.asarray(_search(batch, shared.value, 0, 1.0).column("contaminated").to_numpy(zero_copy_only=False)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit = _joined(rows, tests, size).where("contaminated").select(F.col("doc_id").alias("hit_id"))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
 
 
 def digest(names: list[str]) -> str:
@@ -165,7 +187,7 @@ def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.Re
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id"),
-            pa.array(np.diff(first)),
+            pa.array(np.diff(first), pa.int64()),
             pa.array(n_hit),
             pa.array([len(hit.get(d, ())) for d in range(batch.num_rows)], pa.int64()),
             pa.array([digest(list(hit[d])) if d in hit else none for d in range(batch.num_rows)]),

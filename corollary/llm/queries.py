@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, secrets, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard, language_id, line_dedup, mixing, secrets, suffix_dedup, toxicity
 from .scratch import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "pages"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.quality_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixing.mix_sources(docs, quality=F.col("mix_quality"))
@@ -42,8 +54,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_language_id, op3_toxicity, op4_secret_scans, op5_benchmark_decontamination,
-        op6_exact_dedup, op7_line_dedup, op10_source_mixing,
+        op1_ngram_jaccard_join, op2_language_id, op3_toxicity, op4_secret_scans, op5_benchmark_decontamination,
+        op6_exact_dedup, op7_line_dedup, op8_chat_formatting, op9_suffix_array_dedup, op10_source_mixing,
     )
 }
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import map_text
+from .arrowmap import filter_text, map_text
 from .bytescan import LETTERS_DIGITS, column_bytes, words
 from .language_id import sample
 
@@ -140,18 +140,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     return fit(label, np.repeat(np.arange(len(label)), size), np.asarray(lists.flatten()).astype(np.int64))
 
 
+def probability(batch: pa.RecordBatch, model: Machine) -> np.ndarray:
+    """The model's probability of label 1 for each text of a batch."""
+    data, offsets, _ = column_bytes(batch.column("text"))
+    doc, term = terms_of(data, offsets)
+    row = model.slot[term]
+    known = row >= 0
+    doc, row = pairs(doc[known], row[known])
+    return 1 / (1 + np.exp(-np.clip(model.logit(batch.num_rows, doc, row), -500, 500)))
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, text) -> rows of SCHEMA."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets, _ = column_bytes(batch.column("text"))
-        model = shared.value
-        doc, term = terms_of(data, offsets)
-        row = model.slot[term]
-        known = row >= 0
-        doc, row = pairs(doc[known], row[known])
-        p = 1 / (1 + np.exp(-np.clip(model.logit(batch.num_rows, doc, row), -500, 500)))
+        p = probability(batch, shared.value)
         columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in SCHEMA.split(", ")])
 
@@ -168,3 +172,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return score(rows, train(docs, labels, most))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model scores below THRESHOLD."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
+    return filter_text(docs, lambda batch: probability(batch, shared.value) < THRESHOLD)
