@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...
 
 def mix_sources(
     docs: DataFrame,
-    quality: Column | None = None,
+    quality: DataFrame | None = None,
     share: float = 1.0,
     weights: tuple[int, ...] = (1, 2, 3),
     seed: str = "mix-1:",
@@ -68,9 +68,13 @@ def mix_sources(
     order; missing, zero or negative qualities count as 1. Rows that repeat an id are rows of their
     own, with one key; among them the larger size comes first. An empty table gives an empty result.
     """
-    weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(F.lit(1.0))
-    key = -F.log(uniform(F.col(id_col), seed)) / weight
-    rows = docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    weight = F.lit(1.0)
+    if quality is not None:  # joined with the narrow rows: texts are not shuffled
+        known = quality.select(F.col("doc_id").alias("known"), "quality").where("known IS NOT NULL")
+        rows = rows.join(known, F.col("doc_id") == F.col("known"), "left").drop("known")
+        weight = F.when(F.col("quality") > 0, F.col("quality").cast("double")).otherwise(weight)
+    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
     rows = rows.withColumn("place", (1 - F.exp(-F.col("key"))) * BUCKETS)
     rows = rows.withColumn("b1", F.least(F.floor("place"), F.lit(BUCKETS - 1)).cast("int"))
     rows = rows.withColumn("b2", F.least(F.floor((F.col("place") - F.col("b1")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
@@ -109,8 +113,7 @@ def mix_sources(
     return done.unionByName(sampled).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
 
 
-def quality_from_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with a column mix_quality: 2 where labelled good, 0.5 where labelled bad, else 1."""
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("q"))
-    weight = F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0)
-    return docs.join(known, F.col("doc_id") == F.col("labelled"), "left").withColumn("mix_quality", weight).drop("labelled", "q")
+def quality_from_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): 2 where labelled good, 0.5 where labelled bad; of repeated labels the highest."""
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return known.select("doc_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0).alias("quality"))

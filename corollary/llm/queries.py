@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, jaccard, language_id, line_dedup, mixing, secrets, suffix_dedup, toxicity
 from .scratch import table
@@ -47,8 +46,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.quality_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix_sources(docs, quality=F.col("mix_quality"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.quality_from_labels(table(spark, sf_dir, "labels")))
 
 
 QUERIES = {
