@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..ir import COMPARISONS, Check, Const, Var
+from ..ir import COMPARISONS, EXTERNAL, Check, Const, Var
 
 TOLERANCE = 1e-9
 
@@ -42,15 +42,29 @@ def computed(op: str, x: Column, a: Column, b: Column) -> Column:
     return F.when(known & finite(value), close(x, value))
 
 
-def condition(c: Check, names: dict[str, str]) -> Column:
-    """The filter of a built-in condition over bound columns. Undecided rows are no answers either way."""
+def powered(op: str, x: Column, a: Column, b: Column) -> Column:
+    """Whether x is a to the power b, or the logarithm of a to the base b; null where undecided."""
+    x, a, b = x.cast("double"), a.cast("double"), b.cast("double")
+    value = F.pow(a, b) if op == "exponential" else F.log(a) / F.log(b)
+    return F.when(finite(x) & finite(a) & finite(b) & finite(value), close(x, value))
+
+
+def condition(c: Check, names: dict[str, str], read=None, external=None) -> Column:
+    """The filter of a built-in condition over bound columns. Undecided rows are no answers either way.
+
+    ``read`` turns an operand's column into a number; ``external`` maps names to column functions of a backend.
+    """
     args = [F.col(names[t.name]) if isinstance(t, Var) else F.lit(t.value) for t in c.args]
     if c.op == "equal":
         test = args[0] == args[1]
-    elif c.op in COMPARISONS:
-        test = compared(c.op, *args)
+    elif external and c.op in external:
+        test = external[c.op](*args)
     else:
-        test = computed(c.op, *args)
+        args = [read(a) for a in args] if read else args
+        if c.op in COMPARISONS:
+            test = compared(c.op, *args)
+        else:
+            test = powered(c.op, *args) if c.op in EXTERNAL else computed(c.op, *args)
     return ~test if c.negated else test
 
 

@@ -58,7 +58,7 @@ def ordered(atoms: list[Atom], first: int | None = None) -> list[Atom]:
     return out
 
 
-def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None = None, lead_rows: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]] | None:
+def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None = None, lead_rows: DataFrame | None = None, test=condition) -> tuple[DataFrame, dict[str, str]] | None:
     """(bindings, variable -> column) of a conjunction; None where a relation that it needs is empty.
 
     ``lead`` is the positive atom (by number) that reads ``lead_rows`` in place of its relation: the
@@ -90,7 +90,7 @@ def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None
             names |= {v: c for v, c in own.items() if v not in names}
         ready = [c for c in checks if c.variables() <= set(names)]
         for c in ready:
-            rows = rows.where(condition(c, names))
+            rows = rows.where(test(c, names))
             checks.remove(c)
     if rows is None:
         raise RuleError("a body without a positive atom has no plan")

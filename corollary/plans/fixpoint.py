@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..ir import Atom, Rule, RuleError
 from ..scratch import write_path
+from ..functions.numeric import condition
 from . import bodies, strata
 
 Key = tuple[str, str]
@@ -46,6 +47,7 @@ class Model:
     schemas: dict[Key, object] = field(default_factory=dict)
     rounds: dict[str, int] = field(default_factory=dict)
     views: dict[Key, DataFrame] = field(default_factory=dict)
+    test: object = condition
 
     def relation(self, key: Key) -> DataFrame | None:
         """Rows of a relation so far: its facts and what was derived; None if there can be none."""
@@ -72,7 +74,7 @@ class Model:
         return self.relation(a.key)
 
 
-def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None) -> Model:
+def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition) -> Model:
     """The model of ``rules`` over ``facts``, restricted to the relations that ``wanted`` depends on.
 
     Relations that are not recursive stay lazy plans, joined into what reads them; recursive groups are
@@ -83,7 +85,7 @@ def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFr
     if wanted is not None:
         need = strata.demanded(rules, wanted)
         rules = [r for r in rules if any(h.relation in need for h in r.heads)]
-    model = Model(spark, dict(facts), rules, limits or Limits())
+    model = Model(spark, dict(facts), rules, limits or Limits(), test=test)
     graph = strata.edges(rules)
     for group in order:
         inside = set(group)
@@ -101,7 +103,7 @@ def _plain(model: Model, rules: list[Rule], inside: set[str]) -> None:
     """A relation that does not depend on itself: the union of its rules' plans."""
     made: dict[Key, list[DataFrame]] = {}
     for r in rules:
-        got = bodies.conjunction(r.body, model.lookup)
+        got = bodies.conjunction(r.body, model.lookup, test=model.test)
         if got is not None:
             for key, rows in bodies.heads(r, *got).items():
                 if key[0] in inside:
@@ -153,7 +155,7 @@ def _step(model: Model, rules: list[Rule], inside: set[str], delta: dict[Key, st
         leads = [None] if delta is None else [i for i, a in enumerate(atoms) if a.key in delta]
         for lead in leads:
             rows = None if lead is None else model.spark.read.schema(model.schemas[atoms[lead].key]).parquet(delta[atoms[lead].key]).drop("round")
-            got = bodies.conjunction(r.body, model.lookup, lead, rows)
+            got = bodies.conjunction(r.body, model.lookup, lead, rows, model.test)
             if got is not None:
                 for key, found in bodies.heads(r, *got).items():
                     if key[0] in inside:
@@ -202,7 +204,7 @@ def resume(model: Model, key: Key, rows: DataFrame) -> Model:
     added = model.spark.read.parquet(path)
     facts = dict(model.facts)
     facts[key] = facts[key].unionByName(added.drop("round")) if key in facts else added.drop("round")
-    new = Model(model.spark, facts, model.rules, model.limits, {k: list(v) for k, v in model.paths.items()}, dict(model.schemas), dict(model.rounds))
+    new = Model(model.spark, facts, model.rules, model.limits, {k: list(v) for k, v in model.paths.items()}, dict(model.schemas), dict(model.rounds), test=model.test)
     new.schemas[key] = added.schema
     for group in strata.stratify(model.rules):
         inside = set(group)
