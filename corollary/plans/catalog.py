@@ -6,12 +6,20 @@ operator has something to get wrong: negations that are not empty, closures that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..auth import Authorizer
 from ..ir import Rule, atom, check, naf, rule
+from ..kb import KB
 from ..operators import aggregates, constraints, equality
+from ..scratch import shared_dir
+from ..sources import rdf
 from ..sources.tables import Tables, relation
+from ..streaming.feed import Feed
+from ..vocab import Vocabulary
 from . import bodies, fixpoint
 
 QUERIES: dict = {}
@@ -446,3 +454,89 @@ def proof_rounds(spark, sf_dir):
     """How many tuples each round derived first: what proofs are rebuilt from."""
     model = fixpoint.evaluate(spark, LINEAR, facts(Tables(spark, sf_dir)), wanted=["reach"])
     return model.derived(("reach", "bare")).groupBy(F.col("round").cast("bigint").alias("round")).agg(F.count(F.lit(1)).alias("tuples"))
+
+
+def _authorization(spark, sf_dir):
+    """Customers own their orders; suppliers are the admins of one nation; nations are tenants; urgent orders are granted."""
+    t = Tables(spark, sf_dir)
+    c = lambda name: F.col(name).cast("string")
+    return {
+        "owns": relation(t.orders.where("o_orderkey % 5 = 0"), c("o_custkey"), c("o_orderkey"), distinct=False),
+        "has_role": relation(t.customer.where("c_custkey % 400 = 0"), c("c_custkey"), F.lit("admin"), distinct=False),
+        "resource": relation(t.orders.where("o_orderkey % 50 = 0"), c("o_orderkey"), distinct=False),
+        "in_tenant": relation(t.customer.where("c_nationkey < 2"), c("c_custkey"), c("c_nationkey"), distinct=False),
+        "resource_tenant": relation(t.orders.where("o_orderkey % 100 = 7").join(t.customer, F.col("o_custkey") == F.col("c_custkey")), c("o_orderkey"), c("c_nationkey"), distinct=False),
+        "grant": relation(t.orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0"), c("o_custkey"), F.lit("ship"), c("o_orderkey"), distinct=False),
+    }
+
+
+@query("""WITH o AS (SELECT o_custkey::VARCHAR AS u, o_orderkey::VARCHAR AS r, o_orderkey AS k, o_orderpriority AS p, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+owns AS (SELECT o_custkey::VARCHAR AS u, o_orderkey::VARCHAR AS r FROM orders WHERE o_orderkey % 5 = 0),
+adm AS (SELECT c_custkey::VARCHAR AS u, o_orderkey::VARCHAR AS r FROM customer, orders WHERE c_custkey % 400 = 0 AND o_orderkey % 50 = 0),
+ten AS (SELECT c_custkey::VARCHAR AS u, r FROM customer JOIN o ON c_nationkey = n WHERE c_nationkey < 2 AND k % 100 = 7),
+yes AS (SELECT u, 'read' AS a, r FROM owns UNION SELECT u, 'write', r FROM owns UNION SELECT u, 'read', r FROM adm UNION SELECT u, 'write', r FROM adm
+UNION SELECT u, 'read', r FROM ten UNION SELECT o_custkey::VARCHAR, 'ship', o_orderkey::VARCHAR FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0)
+SELECT DISTINCT u AS who, a AS action, r AS resource FROM yes JOIN customer ON u = c_custkey::VARCHAR WHERE c_custkey % 4 = 0""")
+def auth_can_batch(spark, sf_dir):
+    """Requests: every pair of a fourth customer with what some rule could allow; the batch is one semi join."""
+    a = Authorizer(spark, _authorization(spark, sf_dir))
+    who = relation(Tables(spark, sf_dir).customer.where("c_custkey % 4 = 0"), F.col("c_custkey").cast("string"), distinct=False).select(F.col("x1").alias("w"))
+    asked = a.authorized().join(who, F.col("x1") == F.col("w")).select(F.col("x1").alias("who"), F.col("x2").alias("action"), F.col("x3").alias("resource"))
+    return a.can_any(asked).distinct()
+
+
+@query("SELECT DISTINCT 'region_of' AS relation, concat('c:', replace(lower(n_name), ' ', '_')) AS x1, concat('c:', replace(lower(r_name), ' ', '_')) AS x2 FROM nation JOIN region ON n_regionkey = r_regionkey")
+def triples_roundtrip(spark, sf_dir):
+    """Facts out as N-Triples and in again."""
+    t = Tables(spark, sf_dir)
+    joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = joined.select(F.lit("region_of").alias("relation"), F.lit("bare").alias("flavor"), *(F.concat(F.lit("c:"), F.lower(F.col(c))).alias(x) for c, x in (("n_name", "x1"), ("r_name", "x2"))))
+    lines, _ = rdf.n_triples(rows, "http://example.org/kb/")
+    path = f"{shared_dir(spark)}/triples-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    triples, _ = rdf.read_turtle(spark, path)
+    return rdf.facts(triples).select("relation", "x1", "x2")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS x, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events WHERE event_type = 'purchase'),
+r AS (SELECT x, y FROM e WHERE y IS NOT NULL UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x WHERE e.y IS NOT NULL) SELECT x AS first, y AS later FROM r""")
+def later_events(spark, sf_dir):
+    """Earlier-than as a rule: what follows directly, closed. Chains are long, so the rule doubles its reach each round."""
+    e = Tables(spark, sf_dir).events.where("event_type = 'purchase'")
+    nexts = e.withColumn("y", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    more = {("next", "bare"): relation(nexts, "event_id", "y", distinct=False)}
+    rules = [rule(atom("later", "$x", "$y"), atom("next", "$x", "$y")), rule(atom("later", "$x", "$z"), atom("later", "$x", "$y"), atom("later", "$y", "$z"))]
+    return solved(spark, sf_dir, rules, "later", ["first", "later"], more)
+
+
+@query(CLOSURE + "SELECT x AS part, y AS above FROM r")
+def streamed_closure(spark, sf_dir):
+    """The tree's edges as a stream of three batches, each folded into the model as a delta."""
+    every = facts(Tables(spark, sf_dir))["parent", "bare"]
+    feed = Feed(fixpoint.evaluate(spark, LINEAR, {("parent", "bare"): every.where("x1 % 3 = 0")}, ["reach"]), "parent", wanted=["reach"])
+    for k in (1, 2):
+        feed.add(every.where(F.col("x1") % 3 == k), k)
+    return feed.model.relation(("reach", "bare")).toDF("part", "above")
+
+
+@query("""SELECT c_custkey::VARCHAR AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def text_find_over_tables(spark, sf_dir):
+    """A question in the text language over bound tables."""
+    t = Tables(spark, sf_dir)
+    kb = KB(spark, Vocabulary().declare("customer(who, nation, segment); nation(key, name); placed(who, order); priority(order, level); urgent(who)"))
+    kb.bind("customer", t.customer, "c_custkey", "c_nationkey", "c_mktsegment").bind("nation", t.nation, "n_nationkey", "n_name")
+    kb.bind("placed", t.orders, "o_custkey", "o_orderkey").bind("priority", t.orders, "o_orderkey", "o_orderpriority")
+    kb.tell('all $c, $o: placed($c, $o) & priority($o, "1-URGENT") -> urgent($c).')
+    found = kb.find('customer($c, $n, "BUILDING") & nation($n, $name) & ~urgent($c)')
+    return found.select(F.substring("c", 3, 64).cast("double").cast("bigint").cast("string").alias("customer"), F.substring("name", 3, 64).alias("nation")).distinct()
+
+
+@query("""SELECT count(*) AS witnesses, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000""")
+def text_aggregate_over_tables(spark, sf_dir):
+    """A counted and summed find of the text language, with a numeric condition."""
+    t = Tables(spark, sf_dir)
+    kb = KB(spark, Vocabulary().declare("customer(who, segment); balance(who, amount)"))
+    kb.bind("customer", t.customer, "c_custkey", "c_mktsegment").bind("balance", t.customer, "c_custkey", "c_acctbal")
+    found = kb.find('customer($c, "BUILDING") & balance($c, $b) & greater($b, 5000)')
+    return found.agg(F.count(F.lit(1)).alias("witnesses"), F.round(F.sum(F.substring("b", 3, 64).cast("double")), 2).alias("total"))
