@@ -49,7 +49,9 @@ BLANK = 26
 
 
 def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context of three symbols, symbol) of each byte; before a document stand blanks."""
+    """(context of three symbols, symbol) of each byte; before a document stand blanks.
+
+    A negative start is that of a document whose first bytes are not given."""
     sym = SYMBOL[data].astype(np.int32)
     context = np.zeros(len(sym), np.int32)
     starts, ends = offsets[:-1], offsets[1:]
@@ -57,7 +59,7 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         previous = np.full(len(sym), BLANK, np.int32)
         previous[back:] = sym[:-back]
         for i in range(back):
-            early = (starts + i)[starts + i < ends]
+            early = (starts + i)[(starts + i >= 0) & (starts + i < ends)]
             previous[early] = BLANK
         context += previous * scale
     return context, sym
