@@ -65,13 +65,13 @@ def mix_sources(
     of the cut bucket's cut bucket are sorted.
 
     Null or empty texts have size 0 and give nothing; a null source is a source of its own, last in
-    order; missing, zero or negative qualities count as 1. Rows that repeat an id are rows of their
+    order; missing, zero or negative qualities count as 1, of repeated ones the highest counts. Rows that repeat an id are rows of their
     own, with one key; among them the larger size comes first. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     weight = F.lit(1.0)
     if quality is not None:  # joined with the narrow rows: texts are not shuffled
-        known = quality.select(F.col("doc_id").alias("known"), "quality").where("known IS NOT NULL")
+        known = quality.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("known")).agg(F.max("quality").alias("quality"))
         rows = rows.join(known, F.col("doc_id") == F.col("known"), "left").drop("known")
         weight = F.when(F.col("quality") > 0, F.col("quality").cast("double")).otherwise(weight)
     rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
