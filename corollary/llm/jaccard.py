@@ -3,9 +3,10 @@
 Tokens (hashes of 5-word shingles) have one order for all documents, rare ones first. Two sets of
 Jaccard similarity s share at least s*|x| tokens, so their prefixes of |x| - ceil(s*|x|) + l tokens
 share at least l, for any l. Each document picks its own l by what the prefix will cost: postings
-read, and candidates that must be verified, both estimated from token frequencies. Of a pair whose
-documents picked l and m, the prefixes share at least min(l, m) tokens, and only pairs that do are
-verified on their whole sets.
+read, and candidates that must be verified, both estimated from token frequencies. A pair must share
+a tokens to be similar, by its two sizes. What a set shares beyond its prefix is at most the rest of
+it, so the prefixes share at least a less the longer rest: the longer the prefixes that two documents
+picked, the more shared tokens are required, and only pairs that have them are verified on their whole sets.
 
 The steps:
 
@@ -16,7 +17,7 @@ The steps:
 3. Lists of many nodes are collapsed first: each node is verified against a few leaders of the list, and
    what links is one component. A group of m near copies so costs a few pairs for each copy, not m**2.
 4. All pairs of the remaining lists whose nodes are in different components are counted by shared prefix
-   tokens, filtered by min(l, m), and verified. Pairs inside a component cannot change the result.
+   tokens, filtered by the number required, and verified. Pairs inside a component cannot change the result.
 """
 
 from __future__ import annotations
@@ -126,12 +127,12 @@ def _postings(batch: pa.RecordBatch, order: Order, buckets: int, known: set) ->
             continue
         known.add(sign)
         ordered, excess = order.of(found)
-        chosen, length = prefix(len(found), excess)
+        _, length = prefix(len(found), excess)
         tokens.append(ordered[:length])
         owner.append(np.full(length, len(rows), np.uint32))
         split = np.ceil(excess[:length] / SALT).astype(np.uint64)
         salts.append(np.where(split > 1, np.uint64(sign[0] & 0xFFFFFFFF) % np.maximum(split, np.uint64(1)) + np.uint64(1), np.uint64(0)))
-        rows.append((sign[0], sign[1], len(found), chosen))
+        rows.append((sign[0], sign[1], len(found), len(found) - length))
     if not rows:
         return None
     token, who, salt = np.concatenate(tokens), np.concatenate(owner), np.concatenate(salts)
@@ -180,7 +181,7 @@ def _shared(blobs: list[bytes]) -> pa.RecordBatch | None:
         return None
     rows = table[who[keep]]
     columns = [pa.array(token[keep].view(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(4))]
-    return pa.RecordBatch.from_arrays(columns, ["token", "sa", "sb", "n", "l"])
+    return pa.RecordBatch.from_arrays(columns, ["token", "sa", "sb", "n", "rest"])
 
 
 def _lists(batches):
@@ -224,12 +225,11 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return write_once(map_text(two, _verified, "u long, v long", column="left"), "links")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens) of the wanted nodes: their whole sets, sorted, as bytes."""
-    wanted = nodes.select(F.col("node").alias("doc_id"), "sa", "sb")
-    if nodes.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.join(wanted, "doc_id")
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, tokens) of the documents in candidate pairs: their whole sets, sorted, as bytes."""
+    nodes = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    wanted = write_once(nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id"), "wanted")
+    rows = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets, _ = column_bytes(batch.column("text"))
@@ -239,7 +239,17 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         ids = batch.column("doc_id").filter(pa.array(same, pa.bool_()))
         return pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], ["node", "tokens"])
 
-    return write_once(map_text(rows, each, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    return write_once(map_text(rows, each, "node long, tokens binary"), "sets")
+
+
+def _required(met: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that share as many prefix tokens as a similar pair of their sizes must.
+
+    ``met`` has a row for each shared token: u, v, their sizes n and m, and what their prefixes leave out.
+    """
+    counted = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
+    overlap = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / F.lit(NUM + DEN))
+    return write_once(counted.where(F.col("shared") >= overlap - F.greatest("rest", "left")).select("u", "v"), "pairs")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -278,31 +288,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     yield out
 
     packed = rows.mapInArrow(emit, "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    lists = write_once(packed.mapInArrow(_lists, "token long, sa long, sb long, n long, l long"), "postings")
+    lists = write_once(packed.mapInArrow(_lists, "token long, sa long, sb long, n long, rest long"), "postings")
     settle(spark)
 
-    named = lists.join(classes.where("node IS NOT NULL"), ["sa", "sb"]).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("sa", "sb", "n", "l")))
+    named = lists.join(classes.where("node IS NOT NULL"), ["sa", "sb"]).groupBy("token", "node").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
     posted = write_once(named, "lists")
-    by_rank = [F.xxhash64(F.lit(i), "node") if i else F.col("node") for i in range(LEADERS)]
-    stats = write_once(posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(F.min(F.struct(rank.alias("rank"), "n", "node")).alias(f"leader{i}") for i, rank in enumerate(by_rank))).where("size > 1"), "stats")
-    settle(spark)
-    within = (DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
-    large = stats.where(F.col("size") >= LARGE).select(F.col("token").alias("t"), F.explode(F.array(*(F.struct(F.col(f"leader{i}.node").alias("u"), F.col(f"leader{i}.n").alias("m")) for i in range(LEADERS)))).alias("leader"))
-    stars = posted.join(large, F.col("token") == F.col("t")).select("n", F.col("leader.m").alias("m"), F.col("leader.u").alias("u"), F.col("node").alias("v"))
-    stars = stars.where(within & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sets = _sets(rows, posted.join(stats.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi").select("node", "sa", "sb").distinct())
+    leader = lambda i: F.struct(*([F.xxhash64(F.lit(i), "node").alias("rank")] if i else []), "node", "n", "rest")
+    stats = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(F.min(leader(i)).alias(f"leader{i}") for i in range(LEADERS)))
+    stats = write_once(stats.where("size > 1"), "stats")
     settle(spark)
-    found = _links(stars, sets)
+    within = DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")
+    chosen = F.array_distinct(F.array(*(F.struct(F.col(f"leader{i}.node").alias("v"), F.col(f"leader{i}.n").alias("m"), F.col(f"leader{i}.rest").alias("left")) for i in range(LEADERS))))
+    large = stats.where(F.col("size") >= LARGE).select(F.col("token").alias("t"), F.explode(chosen).alias("leader"))
+    stars = posted.join(large, F.col("token") == F.col("t")).select(F.col("node").alias("u"), "n", "rest", "leader.v", "leader.m", "leader.left")
+    stars = _required(stars.where(within & (F.col("u") != F.col("v"))))
+    found = _links(stars, _sets(rows, stars, classes))
     settle(spark)
     near = components(found)
-    at = posted.join(near.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
-    at = write_once(at.select("token", "node", "n", "l", F.coalesce("root", "node").alias("root")), "lists")
+    at = posted.join(stats.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    at = at.join(near.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
+    at = write_once(at.select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root")), "lists")
     mixed = at.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t")
     left = write_once(at.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
-    other = left.select(F.col("token").alias("t"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("r"))
+    other = left.select(F.col("token").alias("t"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("r"))
     met = left.join(other, (F.col("token") == F.col("t")) & (F.col("node") < F.col("v")) & (F.col("root") != F.col("r")) & within)
-    pairs = met.groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("l", "k")).alias("least")).where("shared >= least").select("u", "v")
-    more = _links(pairs, sets)
+    pairs = _required(met.select(F.col("node").alias("u"), "n", "rest", "v", "m", "left"))
+    settle(spark)
+    more = _links(pairs, _sets(rows, pairs, classes))
     settle(spark)
     roots = components(found.unionByName(more)) if more.limit(1).count() else near
 
