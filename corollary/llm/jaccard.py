@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .arrowmap import map_text, pieces
+from .arrowmap import PIECE, map_text, pieces
 from .bytescan import column_bytes, mix, shingle_sets
 from .components import components
 from .scratch import settle, write_once
@@ -38,13 +38,16 @@ from .scratch import settle, write_once
 NUM, DEN = 75, 100
 K = 5
 #: Counters of the sketch, and rows that it is summed in.
-CELLS, SLICES = 1 << 20, 256
+CELLS, SLICES = 1 << 24, 256
+CELL_SHIFT = np.uint64(64 - 24)
 #: Longest l, and the estimated costs of emitting a posting, meeting another in a list, verifying a pair.
 L_MAX, EMIT, MEET, VERIFY = 4, 1.0, 0.5, 20.0
 #: Tokens of more estimated documents are salted into lists of about so many.
 SALT = 2000
 #: Nodes in a list from which it is collapsed by leaders, and leaders for each.
 LARGE, LEADERS = 8, 3
+#: Nodes in a list from which the lists of one leader are dealt to several tasks.
+SPREAD = 64
 #: Ids of documents to verify that are broadcast; more are joined in a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -57,48 +60,60 @@ def signature(found: np.ndarray) -> tuple[int, int]:
 
 
 def _first_pass(batches):
-    """Rows (kind 0) of documents, then rows (kind 1) of the task's sketch."""
-    cells = np.zeros(CELLS, np.int64)
+    """Rows (kind 0) of documents, then rows (kind 1) of the task's sketch: places in a slice, and counts."""
+    cells = np.zeros(CELLS, np.int32)
     for batch in batches:
         for piece in pieces(batch, "text"):
             data, offsets, _ = column_bytes(piece.column("text"))
             sets = list(shingle_sets(data, offsets, K))
-            cells += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+            cell, seen = np.unique(np.concatenate(sets) >> CELL_SHIFT, return_counts=True)
+            cells[cell.astype(np.int64)] += seen.astype(np.int32)
             signs = [signature(s) for s in sets]
             n = piece.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(n, np.int32)), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.nulls(n, pa.binary())],
                 ["kind", "doc_id", "n", "sa", "sb", "cells"],
             )
-    if cells.any():
-        parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in cells.reshape(SLICES, -1)]
-        none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), none, pa.array(np.arange(SLICES)), none, none, pa.array(parts, pa.binary())], ["kind", "doc_id", "n", "sa", "sb", "cells"])
-
+    found = []
+    for k, part in enumerate(cells.reshape(SLICES, -1)):
+        place = np.flatnonzero(part)
+        if len(place):
+            found.append((k, zlib.compress(place.astype(np.uint16).tobytes() + part[place].astype(np.uint32).tobytes(), 1)))
+    if found:
+        none = pa.nulls(len(found), pa.int64())
+        numbers, blobs = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(numbers, pa.int64()), none, none, pa.array(blobs, pa.binary())], ["kind", "doc_id", "n", "sa", "sb", "cells"])
+
+
+def _levels(mean: float):
+    """Sum a slice's sketches and keep one byte a cell: the power of two of its count above what chance gives."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("n").to_pylist(), batch.column("cells").to_pylist()):
+                raw = zlib.decompress(blob)
+                n = len(raw) // 6
+                cells = total.setdefault(k, np.zeros(CELLS // SLICES, np.int64))
+                cells[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.uint32, n, 2 * n)
+        if total:
+            levels = [np.ceil(np.log2(np.maximum(0, v - mean - 4 * np.sqrt(mean + 1)) + 1)).astype(np.uint8).tobytes() for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], ["n", "cells"])
 
-def _summed(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, cells in zip(batch.column("n").to_pylist(), batch.column("cells").to_pylist()):
-            part = np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.int64)
-            total[k] = total[k] + part if k in total else part
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["n", "cells"])
+    return run
 
 
 class Order:
-    """Token frequencies by the sketch, less what each cell holds on average."""
+    """The order of tokens, rare first, and estimates of their frequencies."""
 
-    def __init__(self, cells: np.ndarray):
-        mean = cells.mean()
-        self.excess = np.maximum(0, cells - mean - 4 * np.sqrt(mean + 1)).astype(np.float32)
-        self.level = np.ceil(np.log2(self.excess + 1)).astype(np.uint64)
+    def __init__(self, level: np.ndarray):
+        self.level = level
 
     def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens in their order, rare first, estimated other documents of each)."""
-        cell = (tokens >> np.uint64(44)).astype(np.int64)
-        place = np.argsort((self.level[cell] << np.uint64(58)) | (mix(tokens) >> np.uint64(6)), kind="stable")
-        return tokens[place], self.excess[cell[place]]
+        """(tokens in their order, estimated other documents of each)."""
+        level = self.level[(tokens >> CELL_SHIFT).astype(np.int64)]
+        place = np.argsort((level.astype(np.uint64) << np.uint64(58)) | (mix(tokens) >> np.uint64(6)), kind="stable")
+        return tokens[place], np.exp2(level[place], dtype=np.float64) - 1
 
 
 def prefix(n: int, excess: np.ndarray) -> tuple[int, int]:
@@ -242,16 +257,80 @@ def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return write_once(map_text(rows, each, "node long, tokens binary"), "sets")
 
 
-def _required(met: DataFrame) -> DataFrame:
+def _enough(counted: DataFrame) -> DataFrame:
     """(u, v) of the pairs that share as many prefix tokens as a similar pair of their sizes must.
 
-    ``met`` has a row for each shared token: u, v, their sizes n and m, and what their prefixes leave out.
+    ``counted`` has the pairs' shared tokens, sizes n and m, and how much their prefixes leave out.
     """
-    counted = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
     overlap = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / F.lit(NUM + DEN))
     return write_once(counted.where(F.col("shared") >= overlap - F.greatest("rest", "left")).select("u", "v"), "pairs")
 
 
+COUNTED = "u long, v long, shared long, n long, m long, rest long, left long"
+HELD, CODES = 200_000, 4_000_000
+
+
+def _count_pairs(held: list[pa.RecordBatch]):
+    """Pairs of different components in the lists of some tokens, with the number of lists that they share."""
+    table = pa.Table.from_batches(held)
+    token, node, n, rest, root = (table.column(c).to_numpy() for c in ("token", "node", "n", "rest", "root"))
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    left = np.repeat(first + size, size) - np.arange(len(token)) - 1  # rows of the list after each row
+    names, index = np.unique(node, return_inverse=True)
+    row_of = np.zeros(len(names), np.int64)
+    row_of[index] = np.arange(len(index))
+    codes, waiting = [], 0
+
+    def counted():
+        code, shared = np.unique(np.concatenate(codes), return_counts=True)
+        u, v = row_of[code // len(names)], row_of[code % len(names)]
+        columns = (node[u], node[v], shared, n[u], n[v], rest[u], rest[v])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [c.split()[0] for c in COUNTED.split(", ")])
+
+    at = np.flatnonzero(left > 0)
+    for step in range(1, int(size.max())):
+        at = at[left[at] >= step]
+        other = at + step
+        low, high = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
+        fits = (root[at] != root[other]) & (DEN * low >= NUM * high)
+        a, b = index[at[fits]], index[other[fits]]
+        if len(a):
+            codes.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+            waiting += len(a)
+        if waiting >= CODES:
+            yield counted()
+            codes, waiting = [], 0
+    if codes:
+        yield counted()
+
+
+def _pair_lists(batches):
+    """_count_pairs over rows sorted by group and token, some whole lists at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            token = batch.column("token").to_numpy()
+            cut = batch.num_rows
+            if rows + cut >= HELD:  # cut where a list ends
+                ends = np.flatnonzero(token[1:] != token[:-1]) + 1
+                if held and held[-1].column("token")[held[-1].num_rows - 1].as_py() != token[0]:
+                    ends = np.concatenate([[0], ends])
+                ends = ends[rows + ends >= HELD] if (rows + ends >= HELD).any() else ends[-1:]
+                if len(ends):
+                    cut = int(ends[0])
+                    if cut:
+                        held.append(batch.slice(0, cut))
+                    yield from _count_pairs(held)
+                    held, rows, batch = [], 0, batch.slice(cut)
+                    continue
+            held.append(batch)
+            rows += cut
+            break
+    if held:
+        yield from _count_pairs(held)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -269,11 +348,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = write_once(rows.mapInArrow(_first_pass, "kind int, doc_id long, n long, sa long, sb long, cells binary"), "signed")
     signed = first.where("kind = 0").select("doc_id", "n", "sa", "sb")
-    slices = first.where("kind = 1").select("n", "cells").repartition("n").mapInArrow(_summed, "n long, cells binary")
-    cells = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for k, blob in slices.collect():  # SLICES rows, whatever the corpus
-        cells[k] = np.frombuffer(bytes(blob), np.int64)
-    order = spark.sparkContext.broadcast(Order(cells.ravel()))
+    mean = (signed.agg(F.sum("n")).first()[0] or 0) / CELLS
+    slices = first.where("kind = 1").select("n", "cells").repartition("n").mapInArrow(_levels(mean), "n long, cells binary")
+    level = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+    for k, blob in slices.collect():  # a byte for each of CELLS, whatever the corpus
+        level[k] = np.frombuffer(bytes(blob), np.uint8)
+    order = spark.sparkContext.broadcast(Order(level.ravel()))
     classes = write_once(signed.where("n > 0").groupBy("sa", "sb").agg(F.min("doc_id").alias("node")), "classes")
     settle(spark)
 
@@ -282,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def emit(batches):
         known: set = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 * PIECE):
                 out = _postings(piece, order.value, buckets, known)
                 if out is not None:
                     yield out
@@ -301,18 +381,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = F.array_distinct(F.array(*(F.struct(F.col(f"leader{i}.node").alias("v"), F.col(f"leader{i}.n").alias("m"), F.col(f"leader{i}.rest").alias("left")) for i in range(LEADERS))))
     large = stats.where(F.col("size") >= LARGE).select(F.col("token").alias("t"), F.explode(chosen).alias("leader"))
     stars = posted.join(large, F.col("token") == F.col("t")).select(F.col("node").alias("u"), "n", "rest", "leader.v", "leader.m", "leader.left")
-    stars = _required(stars.where(within & (F.col("u") != F.col("v"))))
+    stars = stars.where(within & (F.col("u") != F.col("v"))).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
+    stars = _enough(stars)
     found = _links(stars, _sets(rows, stars, classes))
     settle(spark)
     near = components(found)
-    at = posted.join(stats.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    # lists of one leader are dealt together, so that a pair's shared tokens are mostly counted where they meet
+    spread = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), (F.col("size") / SPREAD).cast("long")))
+    homes = stats.select(F.col("token").alias("t"), F.col("leader0.node").alias("home"), spread.alias("spread"))
+    at = posted.join(homes, F.col("token") == F.col("t"))
     at = at.join(near.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
-    at = write_once(at.select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root")), "lists")
+    at = write_once(at.select("home", "spread", "token", "node", "n", "rest", F.coalesce("root", "node").alias("root")), "lists")
     mixed = at.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t")
-    left = write_once(at.join(mixed, F.col("token") == F.col("t"), "left_semi"), "mixed")
-    other = left.select(F.col("token").alias("t"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("root").alias("r"))
-    met = left.join(other, (F.col("token") == F.col("t")) & (F.col("node") < F.col("v")) & (F.col("root") != F.col("r")) & within)
-    pairs = _required(met.select(F.col("node").alias("u"), "n", "rest", "v", "m", "left"))
+    left = at.join(mixed, F.col("token") == F.col("t"), "left_semi").repartition("home", "spread").sortWithinPartitions("home", "token")
+    met = left.select("token", "node", "n", "rest", "root").mapInArrow(_pair_lists, COUNTED)
+    met = met.groupBy("u", "v").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
+    pairs = _enough(met)
     settle(spark)
     more = _links(pairs, _sets(rows, pairs, classes))
     settle(spark)
