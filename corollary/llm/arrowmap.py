@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..shipping import ship
 from .bytescan import column_bytes
 
-PIECE = 8 << 20
+PIECE = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:

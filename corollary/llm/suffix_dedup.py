@@ -33,6 +33,8 @@ from .scratch import settle, write_once
 LENGTH = 100
 K = 32
 CHUNK = 1 << 20
+#: Bytes of text whose segments are collapsed and packed together.
+PACKED = 8 << 20
 #: Distinct segments of an anchor from which its strings are sharded by their own hash instead.
 CROWDED = 20_000
 #: Suffixes that a shard sorts at once, unless one anchor has more.
@@ -359,7 +361,7 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cut(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PACKED):
                 out = _segment_rows(piece, buckets)
                 if out is not None:
                     yield out
