@@ -132,7 +132,10 @@ def borders(stretches: list[tuple]) -> dict[tuple, tuple[int, int | None]]:
 
 def _runs(batches):
     """(chunk, conversation, table of the run) from rows sorted by chunk and place; a partition's narrow rows are held."""
-    table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
+    held = list(batches)
+    if not held:  # a partition without rows has no schema either
+        return
+    table = pa.Table.from_batches(held)
     if not table.num_rows:
         return
     chunk = table.column("chunk").to_numpy()
