@@ -32,8 +32,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h128", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    found = narrow.join(groups, ["h128", "text_sha256"])
-    repeats = Window.partitionBy("text_sha256", "h128", "doc_id").orderBy("doc_id")
+    # dealt anew by id, so that the join before it can be split where one text has very many rows
+    found = narrow.join(groups, ["h128", "text_sha256"]).repartition("doc_id")
+    repeats = Window.partitionBy("doc_id", "text_sha256", "h128").orderBy("doc_id")
     return found.select(
         "doc_id",
         "keep_id",
