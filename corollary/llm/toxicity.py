@@ -20,10 +20,10 @@ PLACES = 1 << 20
 HEADS = (4, 5, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Bounds: training documents of each class, and terms that the model holds.
-MAX_TRAIN = 6000
-MAX_TERMS = 8192
+MAX_TRAIN = 4000
+MAX_TERMS = 2048
 FACTORS = 8
-EPOCHS = 30
+EPOCHS = 12
 THRESHOLD = 0.7
 
 
@@ -75,7 +75,7 @@ def fit(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, seed: int = 7) ->
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where(seen >= 3, (with1 - expected) ** 2 / expected + (with1 - expected) ** 2 / (seen - expected), 0.0)
     chi = np.nan_to_num(chi, posinf=0.0)
-    chosen = np.flatnonzero(chi > 6)
+    chosen = np.flatnonzero(chi > 11)
     chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:MAX_TERMS]])
     slot = np.full(PLACES, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
