@@ -1,36 +1,14 @@
-"""Shared scratch tables: lineage is cut by writing Parquet where every executor can read it."""
+"""Scratch tables of the library, and what long chains of steps need besides."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return _FALLBACK[app]
-
-
-def write_once(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it reread; the files go when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import write_once
+
+__all__ = ["settle", "table", "write_once"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
