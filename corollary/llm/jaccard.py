@@ -38,8 +38,8 @@ from .scratch import settle, write_once
 NUM, DEN = 75, 100
 K = 5
 #: Counters of the sketch, and rows that it is summed in.
-CELLS, SLICES = 1 << 24, 256
-CELL_SHIFT = np.uint64(64 - 24)
+CELLS, SLICES = 1 << 22, 256
+CELL_SHIFT = np.uint64(64 - 22)
 #: Longest l, and the estimated costs of emitting a posting, meeting another in a list, verifying a pair.
 L_MAX, EMIT, MEET, VERIFY = 4, 1.0, 0.5, 20.0
 #: Tokens of more estimated documents are salted into lists of about so many.
