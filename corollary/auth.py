@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ir import Rule, atom, rule
 from .plans import fixpoint
+from .sources.tables import relation
 
 #: authorized(who, action, resource)
 POLICY: tuple[Rule, ...] = (
@@ -19,6 +20,8 @@ POLICY: tuple[Rule, ...] = (
     rule(atom("authorized", "$u", "read", "$r"), atom("in_tenant", "$u", "$t"), atom("resource_tenant", "$r", "$t"), label="a tenant's member reads"),
     rule(atom("authorized", "$u", "$a", "$r"), atom("grant", "$u", "$a", "$r"), label="a grant allows"),
 )
+#: Relation that holds the requests of a batch.
+REQUESTED = "requested in this batch"
 ARITY = {"owns": 2, "has_role": 2, "resource": 1, "in_tenant": 2, "resource_tenant": 2, "grant": 3}
 
 
@@ -69,9 +72,18 @@ class Authorizer:
         """Everything that is allowed: x1 who, x2 action, x3 resource."""
         return fixpoint.evaluate(self.spark, self.policy, self._facts(), ["authorized"]).relation(("authorized", "bare"))
 
+    def _authorized_of(self, requests: DataFrame) -> DataFrame | None:
+        """What is allowed, of the requests alone where the policy permits it: a role times every resource is not listed."""
+        plain = all(len(r.heads) == 1 and not r.invents and r.heads[0].relation == "authorized" for r in self.policy)
+        if not plain or any(x.relation == "authorized" for r in self.policy for x in (*r.positive(), *(n.atom for n in r.negative()))):
+            return self.authorized()
+        asked = [replace(r, body=(atom(REQUESTED, *r.heads[0].args), *r.body)) for r in self.policy]
+        known = self._facts() | {(REQUESTED, "bare"): relation(requests, "who", "action", "resource")}
+        return fixpoint.evaluate(self.spark, asked, known, ["authorized"]).relation(("authorized", "bare"))
+
     def can_any(self, requests: DataFrame) -> DataFrame:
         """The allowed ones of (who, action, resource) requests: one semi join for the whole batch."""
-        got = self.authorized()
+        got = self._authorized_of(requests)
         if got is None:
             return requests.limit(0)
         on = (F.col("who") == F.col("x1")) & (F.col("action") == F.col("x2")) & (F.col("resource") == F.col("x3"))

@@ -485,6 +485,51 @@ def auth_can_batch(spark, sf_dir):
     return a.can_any(asked).distinct()
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, c_nationkey AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+asker AS (SELECT c_custkey AS k, c_nationkey AS home, c_mktsegment AS segment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer),
+met AS (SELECT o_orderkey, k FROM o JOIN asker ON k = o_custkey UNION SELECT o_orderkey, k FROM o JOIN asker ON k = o_custkey + 1 UNION SELECT o_orderkey, k FROM o JOIN asker ON home = nation AND place = 1),
+asked AS (SELECT * FROM met JOIN o USING (o_orderkey) JOIN asker USING (k), (VALUES ('read'), ('write'), ('ship')) AS v(action))
+SELECT DISTINCT k::VARCHAR AS who, action, o_orderkey::VARCHAR AS resource FROM asked WHERE CASE action
+WHEN 'ship' THEN k = o_custkey AND o_orderpriority = '1-URGENT'
+WHEN 'write' THEN k = o_custkey OR (segment = 'MACHINERY' AND o_orderpriority <> '1-URGENT')
+ELSE k = o_custkey OR (segment = 'MACHINERY' AND o_orderpriority <> '1-URGENT') OR home = nation END""")
+def auth_can_requests(spark, sf_dir):
+    """Whole tables: for every order its customer, the customer of the next key and the first one of its nation ask for each action.
+
+    Customers own their orders; one segment's customers are admins of what is not urgent; nations are
+    tenants; urgent orders may be shipped. Requests do not depend on what is allowed, so many are refused.
+    """
+    a = Authorizer(spark, _whole_authorization(spark, sf_dir))
+    return a.can_any(order_requests(spark, sf_dir))
+
+
+def _whole_authorization(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = lambda name: F.col(name).cast("string")
+    owner = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return {
+        "owns": relation(t.orders, c("o_custkey"), c("o_orderkey"), distinct=False),
+        "has_role": relation(t.customer.where("c_mktsegment = 'MACHINERY'"), c("c_custkey"), F.lit("admin"), distinct=False),
+        "resource": relation(t.orders.where("o_orderpriority <> '1-URGENT'"), c("o_orderkey"), distinct=False),
+        "in_tenant": relation(t.customer, c("c_custkey"), c("c_nationkey"), distinct=False),
+        "resource_tenant": relation(owner, c("o_orderkey"), c("c_nationkey"), distinct=False),
+        "grant": relation(t.orders.where("o_orderpriority = '1-URGENT'"), c("o_custkey"), F.lit("ship"), c("o_orderkey"), distinct=False),
+    }
+
+
+def order_requests(spark, sf_dir):
+    """(who, action, resource) of every order: its customer, the next key's and the first of its nation, for each action."""
+    t = Tables(spark, sf_dir)
+    leaders = t.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("leader"))
+    near = t.customer.join(leaders, "c_nationkey").select("c_custkey", "leader")
+    keys = t.customer.select(F.col("c_custkey").alias("k"))
+    askers = F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1, F.col("leader")))
+    who = t.orders.join(near, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", askers.alias("w")).distinct()
+    who = who.join(keys, F.col("w") == F.col("k"), "left_semi")
+    actions = F.explode(F.array(F.lit("read"), F.lit("write"), F.lit("ship")))
+    return who.select(F.col("w").cast("string").alias("who"), actions.alias("action"), F.col("o_orderkey").cast("string").alias("resource"))
+
+
 @query("SELECT DISTINCT 'region_of' AS relation, concat('c:', replace(lower(n_name), ' ', '_')) AS x1, concat('c:', replace(lower(r_name), ' ', '_')) AS x2 FROM nation JOIN region ON n_regionkey = r_regionkey")
 def triples_roundtrip(spark, sf_dir):
     """Facts out as N-Triples and in again."""
