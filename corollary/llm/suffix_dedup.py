@@ -14,6 +14,7 @@ about 2 segments for each LENGTH - K + 2 bytes, and only they are shuffled, neve
 3. Spans are united by document and cut out of the text.
 
 Equal segments are found by 128 bits of hash; the repeats of step 2 are compared by their bytes.
+maximal_repeats lists the maximal repeats of whole texts, across segments, by bytes alone.
 """
 
 from __future__ import annotations
@@ -376,14 +377,147 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled.where("kind = 1"), groups
 
 
+PLACED = "anchor long, doc long, tk long, lo long, hi long"
+OCCURRING = "anchor long, doc long, tk long, lo long, before int, body binary"
+MARKED = "start boolean, key long, doc long, tk long, lo long, hi long"
+TAILS = "key long, doc long, tk long, lo long, before int, tail binary"
+REPEATS = "repeat string, length long, doc long, tk long, lo long, first boolean"
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch | None:
+    """Rows as a batch of ``schema``; None without rows."""
+    if not rows:
+        return None
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    fields = [part.split() for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+
+def _placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Every segment: its anchor and place."""
+    data, offsets, _ = column_bytes(batch.column("text"))
+    doc, lo, hi, anchor, _ = segments(data, offsets)
+    ids, marks = np.asarray(batch.column("doc")), np.asarray(batch.column("tk"))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor.view(np.int64), ids[doc], marks[doc], lo, hi)], [c.split()[0] for c in PLACED.split(", ")])
+
+
+def _occurring(batch: pa.RecordBatch):
+    """Bytes of the wanted segments, and the byte before each."""
+    data, offsets, _ = column_bytes(batch.column("text"))
+    out = []
+    for d, (doc, tk, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "tk", "wanted")))):
+        text = data[offsets[d] : offsets[d + 1]]
+        out += [(w["anchor"], doc, tk, w["lo"], int(text[w["lo"] - 1]) if w["lo"] else -1, text[w["lo"] : w["hi"] + LENGTH].tobytes()) for w in wanted]
+    return _arrow(out, OCCURRING)
+
+
+def _marked(rows: list[tuple]):
+    """Of all segments of some anchors: stretches of strings that are repeated, and the left-diverse ones among these.
+
+    A repeat that is maximal starts with a string whose occurrences have different bytes on their left.
+    """
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    size = np.array([len(r[5]) for r in rows], np.int64)
+    begin, strings = np.cumsum(size) - size, size - LENGTH + 1
+    body = np.repeat(np.arange(len(rows)), strings)
+    start = np.arange(len(body)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = begin[body] + start
+    before = np.array([r[4] for r in rows], np.int64)
+    first = np.where(before < 0, 256 + np.arange(len(rows)), before)  # the start of a text differs from any byte
+    left = np.where(start > 0, data[np.maximum(at - 1, 0)].astype(np.int64), first[body])
+    whole = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]).view(f"S{LENGTH}").ravel()
+    order = np.argsort(whole, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
+    count = np.diff(np.append(new, len(order)))
+    diverse = np.minimum.reduceat(left[order], new) != np.maximum.reduceat(left[order], new)
+    repeated, starts = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    repeated[order] = np.repeat(count > 1, count)
+    starts[order] = np.repeat((count > 1) & diverse, count)
+    edge = np.flatnonzero(repeated & ~(np.concatenate([[False], repeated[:-1]]) & (start > 0)))
+    last = np.flatnonzero(repeated & ~(np.concatenate([repeated[1:], [False]]) & (start + 1 < strings[body])))
+    out = [(False, 0, *rows[body[a]][1:3], rows[body[a]][3] + int(start[a]), rows[body[a]][3] + int(start[b]) + LENGTH) for a, b in zip(edge, last)]
+    for i in np.flatnonzero(starts):
+        key = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + LENGTH].tobytes(), digest_size=8).digest(), "little", signed=True)
+        lo = rows[body[i]][3] + int(start[i])
+        out.append((True, key, *rows[body[i]][1:3], lo, lo))
+    return _arrow(out, MARKED)
+
+
+def _by_key(each, schema: str, enough: int):
+    """Rows sorted by their first column -> ``each`` over lists of rows; equal keys stay together, ``enough`` bytes or so at once."""
+
+    def run(batches):
+        held, weight, at = [], 0, None
+        for batch in batches:
+            for row in zip(*(batch.column(c.split()[0]).to_pylist() for c in schema.split(", "))):
+                if row[0] != at and weight >= enough:
+                    if (out := each(held)) is not None:
+                        yield out
+                    held, weight = [], 0
+                at = row[0]
+                held.append(row)
+                weight += len(row[-1])
+        if held and (out := each(held)) is not None:
+            yield out
+
+    return run
+
+
+def _tails(batch: pa.RecordBatch):
+    """The text from each left-diverse start to where repeated strings end: no repeat from there reaches further."""
+    data, offsets, _ = column_bytes(batch.column("text"))
+    out = []
+    for d, (doc, tk, spans, starts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "tk", "spans", "starts")))):
+        text = data[offsets[d] : offsets[d + 1]]
+        lo, hi = (np.array([s[k] for s in spans], np.int64) for k in ("lo", "hi"))
+        _, lo, hi = united(np.zeros(len(lo), np.int64), lo, hi - LENGTH + 1)  # in starts of strings
+        for s in starts:
+            p = s["lo"]
+            end = int(hi[np.searchsorted(lo, p, "right") - 1]) + LENGTH - 1
+            out.append((s["key"], doc, tk, p, int(text[p - 1]) if p else -1, text[p:end].tobytes()))
+    return _arrow(out, TAILS)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def _listed(rows: list[tuple]):
+    """Rows of REPEATS from tails that start with the same strings: an enhanced suffix array and its intervals."""
+    rows = sorted(rows, key=lambda r: r[5])
+    prefix = np.array([0] + [_common(a[5], b[5]) for a, b in zip(rows, rows[1:])], np.int64)
+    left = np.array([256 + i if r[4] < 0 else r[4] for i, r in enumerate(rows)], np.int64)
+    out = []
+    for depth, lo, hi in intervals(prefix, LENGTH):
+        if left[lo : hi + 1].min() != left[lo : hi + 1].max():
+            name = hashlib.sha256(rows[lo][5][:depth]).hexdigest()
+            places = sorted(r[1:4] for r in rows[lo : hi + 1])
+            out += [(name, depth, *place, place == places[0]) for place in places]
+    return _arrow(out, REPEATS)
+
+
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """(length, doc, tk, lo, first): each occurrence of each maximal repeat between unequal segments.
+    """Rows of REPEATS: each occurrence of each maximal repeat of at least LENGTH bytes, in whole texts.
 
-    ``lo`` is the byte offset, ``first`` marks the earliest occurrence of its group, tk a hash of the text.
-    Segments that are equal as a whole are not listed: remove_repeats settles them by their hash.
+    ``repeat`` is the SHA-256 of the repeated bytes, ``lo`` the byte offset, ``first`` marks the earliest
+    occurrence, tk is a hash of the text. Copies, and passages of any length, are listed with all their
+    places; a repeat inside a longer one only if it also stands elsewhere. Everything is compared by bytes.
+    Rows that repeat a doc_id and a text are one document. The result can grow with the square of a
+    text that repeats itself with a short period.
     """
     ship(docs.sparkSession)
-    return _found(_keyed(docs))[1]
+    rows = _keyed(docs).select("doc", "tk", "text").dropDuplicates(["doc", "tk"])
+    placed = write_once(map_text(rows, _placed, PLACED), "placed")
+    shared = placed.groupBy("anchor").count().where("count > 1").select("anchor")
+    wanted = placed.join(shared, "anchor", "left_semi").groupBy("doc", "tk").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("wanted"))
+    bodies = map_text(rows.join(wanted, ["doc", "tk"]), _occurring, OCCURRING)
+    marked = write_once(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_key(_marked, OCCURRING, FLUSH), MARKED), "marked")
+    of = lambda test, *names: F.collect_list(F.when(test, F.struct(*names)))
+    listed = marked.groupBy("doc", "tk").agg(of(~F.col("start"), "lo", "hi").alias("spans"), of(F.col("start"), "key", "lo").alias("starts"))
+    tails = map_text(rows.join(listed, ["doc", "tk"]), _tails, TAILS)
+    return tails.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_listed, TAILS, 0), REPEATS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
