@@ -10,6 +10,7 @@ leaves its task, so nothing is shuffled and no key can be hot.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import filter_text, map_text
-from .bytescan import LETTERS_DIGITS, column_bytes, sequence_hash, words
+from .bytescan import LETTERS_DIGITS, column_bytes, words
+from .scratch import write_once
 
-#: Bytes of test texts up to which the windows are broadcast; above, they are joined by hash.
+#: Bytes of test texts whose windows are broadcast at once; more are searched for block by block.
 BROADCAST_LIMIT = 32 << 20
+#: Windows whose places are compared at once for proximity.
+AT_ONCE = 1 << 15
+#: Key of a row of documents while blocks are searched for.
+ROW = "row_of_decontaminate"
+FOUND = f"{ROW} long, spans array<struct<lo:long,hi:long>>, names array<string>, near array<string>"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
@@ -67,11 +74,12 @@ class Windows:
 
 
 def shard_matches(w: Windows, tokens: np.ndarray, doc_of: np.ndarray, slop: int, share: float):
-    """(exact, near): each a pair (window, start token) of arrays, from one shard's postings."""
-    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(exact, near) from one shard's postings: arrays (window, start token), and (window, start, a token of the match)."""
+    none = np.zeros(0, np.int64)
+    exact, nothing = (none, none), (none, none, none)
     placed = np.flatnonzero(tokens >= 0)
     if not len(placed) or not len(w.rows):
-        return nothing, nothing
+        return exact, nothing
     order = placed[np.argsort(tokens[placed], kind="stable")]  # postings: positions by term, ascending
     counts = np.bincount(tokens[placed], minlength=len(w.terms))
     start = np.concatenate([[0], np.cumsum(counts)])
@@ -81,11 +89,8 @@ def shard_matches(w: Windows, tokens: np.ndarray, doc_of: np.ndarray, slop: int,
     rarest = rarity[:, 0]
     lists = frequency[np.arange(len(w.rows)), rarest]
     window = np.repeat(np.arange(len(w.rows)), lists)
-    if not len(window):
-        return nothing, nothing
     rank = np.arange(len(window)) - np.repeat(np.cumsum(lists) - lists, lists)
     at = order[start[w.rows[window, rarest[window]]] + rank] - rarest[window]
-    anchor = at + rarest[window]
     inside = (at >= 0) & (at + w.length[window] <= len(tokens))
     fits = inside.copy()
     fits[inside] = doc_of[at[inside]] == doc_of[at[inside] + w.length[window[inside]] - 1]
@@ -97,16 +102,56 @@ def shard_matches(w: Windows, tokens: np.ndarray, doc_of: np.ndarray, slop: int,
         win, pos = win[same], pos[same]
     if not slop:
         return (win, pos), nothing
-    got = np.zeros(len(window), np.int64)
-    for j in range(w.size):
-        term = w.rows[window, j]
-        hit = np.zeros(len(window), bool)
-        for shift in range(-slop, slop + 1):
-            p = np.clip(at + j + shift, 0, len(tokens) - 1)
-            hit |= (tokens[p] == term) & (doc_of[p] == doc_of[anchor])
-        got += hit & (term >= 0)
-    close = got >= np.ceil(share * w.length[window])
-    return (win, pos), (window[close], anchor[close])
+    return (win, pos), _near(w, tokens, doc_of, order, start, frequency, rarity, slop, share)
+
+
+def _near(w: Windows, tokens: np.ndarray, doc_of: np.ndarray, order: np.ndarray, start: np.ndarray, frequency: np.ndarray, rarity: np.ndarray, slop: int, share: float):
+    """(window, start, anchor) of every place where at least ``share`` of a window's terms are within ``slop`` of theirs.
+
+    Of a window that may miss m terms, one of the m + 1 rarest is there: each of these is looked up in
+    turn, the other terms thin out the places, and what is left is tried at every start near by.
+    """
+    least = np.ceil(share * w.length - 1e-9).astype(np.int64)
+    spare = w.length - least
+    last = len(tokens) - 1
+    found = []
+    for turn, part in itertools.product(range(int(spare.max(initial=-1)) + 1), range(0, len(spare), AT_ONCE)):
+        windows = part + np.flatnonzero(spare[part : part + AT_ONCE] >= turn)
+        offset = rarity[windows, turn]
+        lists = frequency[windows, offset]
+        window, offset = np.repeat(windows, lists), np.repeat(offset, lists)
+        rank = np.arange(len(window)) - np.repeat(np.cumsum(lists) - lists, lists)
+        anchor = order[start[w.rows[window, offset]] + rank]
+        missed = np.zeros(len(window), np.int64)
+        for step in range(w.size):
+            if step == turn:
+                continue
+            other = rarity[window, step]
+            term = w.rows[window, other]
+            hit = term < 0
+            for shift in range(-2 * slop, 2 * slop + 1):
+                p = np.clip(anchor + other - offset + shift, 0, last)
+                hit |= tokens[p] == term
+            missed += ~hit
+            keep = missed <= spare[window]
+            window, offset, anchor, missed = window[keep], offset[keep], anchor[keep], missed[keep]
+        for move in range(-slop, slop + 1):
+            at = anchor - offset + move
+            got = np.zeros(len(window), np.int64)
+            for j in range(w.size):
+                term = w.rows[window, j]
+                hit = np.zeros(len(window), bool)
+                for shift in range(-slop, slop + 1):
+                    p = np.clip(at + j + shift, 0, last)
+                    hit |= (p == at + j + shift) & (tokens[p] == term) & (doc_of[p] == doc_of[anchor])
+                got += hit & (term >= 0)
+            close = got >= least[window]
+            found.append(np.stack([window[close], at[close], anchor[close]], axis=1))
+    every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    if not len(every):
+        return (np.zeros(0, np.int64),) * 3
+    _, one = np.unique(np.stack([every[:, 0], every[:, 1], doc_of[every[:, 2]]], axis=1), axis=0, return_index=True)
+    return tuple(every[one].T)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, share: float = 0.8, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -115,9 +160,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters. A window is
     ``size`` consecutive words of an item, or all its words if it has fewer; windows match only inside
     one document. n_hit counts words inside any exact match, n_items the items with one. A proximity
-    match has at least ``share`` of a window's terms, the rarest one included, each within ``slop``
-    words of its place; n_near_items counts items with such a match (exact ones included). Hash hits
-    are confirmed on the bytes.
+    match has at least ``share`` of a window's terms, each within ``slop`` words of its place, for some
+    start; n_near_items counts items with such a match (exact ones included). Exact hash hits are
+    confirmed on the bytes. Test texts of more than ``limit`` bytes are searched for block by block.
 
     Null or empty texts have no words; null and wordless items have no window. Repeated rows give
     repeated results; repeated item_ids count once. Empty tables: no items means nothing is hit, no
@@ -127,7 +172,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     tests = _usable(items)
     shared = _shared_windows(tests, size, limit)
     if shared is None:
-        return _joined(rows, tests, size)
+        return _in_blocks(rows, tests, size, slop, share, limit)
     return map_text(rows, lambda batch: _search(batch, shared.value, slop, share), SCHEMA)
 
 
@@ -150,16 +195,63 @@ def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, limi
     shared = _shared_windows(tests, size, limit)
     if shared is not None:
         return filter_text(docs, lambda batch: ~np.asarray(_search(batch, shared.value, 0, 1.0).column("contaminated").to_numpy(zero_copy_only=False)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hit = _joined(rows, tests, size).where("contaminated").select(F.col("doc_id").alias("hit_id"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    keyed = _numbered(docs)
+    hit = _block_rows(keyed, tests, size, 0, 1.0, limit).where(F.size("spans") > 0).select(F.col(ROW).alias("hit_row")).distinct()
+    return keyed.join(hit, F.col(ROW) == F.col("hit_row"), "left_anti").drop(ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ROW, written so that the keys stay what they are."""
+    return write_once(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _blocks(tests: DataFrame, size: int, limit: int):
+    """Windows of blocks of whole items with at most ``limit`` bytes of text, one item at least."""
+    held, weight = [], 0
+    for r in tests.toLocalIterator():
+        more = len(r["text"].encode())
+        if held and weight + more > limit:
+            yield Windows(held, size)
+            held, weight = [], 0
+        held.append((r["item_id"], r["text"]))
+        weight += more
+    if held:
+        yield Windows(held, size)
+
+
+def _block_rows(keyed: DataFrame, tests: DataFrame, size: int, slop: int, share: float, limit: int) -> DataFrame:
+    """Rows of FOUND: for each block of test texts, what it has in each row. One search of the documents a block."""
+    out = None
+    rows = keyed.select(ROW, F.col("text").cast("string").alias("text"))
+    for windows in _blocks(tests, size, limit):
+        shared = keyed.sparkSession.sparkContext.broadcast(windows)
+        part = write_once(map_text(rows, lambda batch, shared=shared: _found(batch, shared.value, slop, share), FOUND), "block")
+        shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _in_blocks(rows: DataFrame, tests: DataFrame, size: int, slop: int, share: float, limit: int) -> DataFrame:
+    keyed = _numbered(rows)
+    listed = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
+    found = _block_rows(keyed, tests, size, slop, share, limit).groupBy(F.col(ROW).alias("found_row"))
+    found = found.agg(F.flatten(F.collect_list("spans")).alias("spans"), listed("names").alias("names"), listed("near").alias("near"))
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"] - 1))))
+    found = found.select("found_row", F.size(covered).cast("long").alias("hit"), "names", "near")
+    out = map_text(keyed, _counted, f"{ROW} long, doc_id long, n_words long").join(found, F.col(ROW) == F.col("found_row"), "left")
+    hit, names, near = F.coalesce("hit", F.lit(0)).cast("long"), *(F.coalesce(c, F.array().cast("array<string>")) for c in ("names", "near"))
+    return out.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"), F.size(near).cast("long").alias("n_near_items"),
+    )
 
 
 def digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.RecordBatch:
+def _matches(batch: pa.RecordBatch, w: Windows, slop: int, share: float):
+    """(first word of each row, exact matches confirmed on the bytes, near matches) as shard_matches has them."""
     data, offsets, _ = column_bytes(batch.column("text"))
     hashed, begins, ends = words(data, offsets, LETTERS_DIGITS)
     first = np.searchsorted(begins, offsets)
@@ -169,20 +261,53 @@ def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.Re
         w.folded(int(w.at[i]), int(w.length[i])) == [LETTERS_DIGITS[data[begins[t] : ends[t]]].tobytes() for t in range(p, p + int(w.length[i]))]
         for i, p in zip(win, pos)
     ], bool)
-    win, pos = (win[true], pos[true]) if len(win) else (win, pos)
-    step = np.zeros(len(hashed) + 1, np.int64)
+    return first, doc_of, (win[true], pos[true]) if len(win) else (win, pos), near
+
+
+def _named(w: Windows, doc_of: np.ndarray, wins: np.ndarray, places: np.ndarray) -> dict[int, set[str]]:
+    """Names of the items of the matched windows, by row."""
+    out: dict[int, set[str]] = {}
+    for doc, i in set(zip(doc_of[places].tolist(), wins.tolist())):
+        out.setdefault(doc, set()).update(w.names[k] for k in w.owners[i])
+    return out
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    data, offsets, _ = column_bytes(batch.column("text"))
+    first = np.searchsorted(words(data, offsets, LETTERS_DIGITS)[1], offsets)
+    return pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(np.diff(first), pa.int64())], [ROW, "doc_id", "n_words"])
+
+
+def _found(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.RecordBatch | None:
+    """Rows of FOUND for the rows in which something of this block is: spans of hit words, item names."""
+    first, doc_of, (win, pos), (near, _, anchor) = _matches(batch, w, slop, share)
+    names, close = _named(w, doc_of, win, pos), _named(w, doc_of, near, anchor)
+    spans: dict[int, set] = {}
+    for doc, p, n in zip(doc_of[pos].tolist(), pos.tolist(), w.length[win].tolist()):
+        spans.setdefault(doc, set()).add((p - int(first[doc]), p - int(first[doc]) + n))
+    rows = sorted(set(names) | set(close))
+    if not rows:
+        return None
+    span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(ROW).take(pa.array(rows)),
+            pa.array([[{"lo": lo, "hi": hi} for lo, hi in sorted(spans.get(d, ()))] for d in rows], span),
+            pa.array([sorted(names.get(d, ())) for d in rows], pa.list_(pa.string())),
+            pa.array([sorted(close.get(d, ())) for d in rows], pa.list_(pa.string())),
+        ],
+        [ROW, "spans", "names", "near"],
+    )
+
+
+def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.RecordBatch:
+    first, doc_of, (win, pos), (near, _, anchor) = _matches(batch, w, slop, share)
+    step = np.zeros(len(doc_of) + 1, np.int64)
     np.add.at(step, pos, 1)
     np.subtract.at(step, pos + w.length[win], 1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
     n_hit = covered[first[1:]] - covered[first[:-1]]
-
-    def named(wins, places):
-        out: dict[int, set[str]] = {}
-        for doc, i in set(zip(doc_of[places].tolist(), wins.tolist())):
-            out.setdefault(doc, set()).update(w.names[k] for k in w.owners[i])
-        return out
-
-    hit, close = named(win, pos), named(*near)
+    hit, close = _named(w, doc_of, win, pos), _named(w, doc_of, near, anchor)
     none = digest([])
     return pa.RecordBatch.from_arrays(
         [
@@ -198,47 +323,6 @@ def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.Re
     )
 
 
-def _grams(batch: pa.RecordBatch, key: str, sizes: list[int], whole_short: int) -> pa.RecordBatch:
-    """(key, n_words, at, n, h1): hashes of the windows of each row. A row without any gets one with null h1."""
-    data, offsets, _ = column_bytes(batch.column("text"))
-    hashed, begins, _ = words(data, offsets, LETTERS_DIGITS)
-    first = np.searchsorted(begins, offsets)
-    doc, at, n, h = [], [], [], []
-    for size in sizes:
-        runs = sequence_hash(hashed, size)
-        for d, (lo, hi) in enumerate(zip(first, first[1:])):
-            if hi - lo >= size and (not whole_short or size == min(whole_short, hi - lo)):
-                doc.append(np.full(hi - lo - size + 1, d))
-                at.append(np.arange(hi - lo - size + 1))
-                n.append(np.full(hi - lo - size + 1, size))
-                h.append(runs[lo : hi - size + 1])
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    doc, at, n, h = join(doc), join(at), join(n), join(h).astype(np.uint64).view(np.int64)
-    ids = batch.column(key).take(pa.array(doc.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(h)], [key, "at", "n", "h"])
-
-
-def _joined(rows: DataFrame, tests: DataFrame, size: int) -> DataFrame:
-    """The way without a broadcast: windows of both sides meet by hash in a shuffle; no proximity.
-
-    Rows are told apart by doc_id here: rows that repeat one are merged.
-    """
-    tests = tests.withColumn("item_id", F.col("item_id").cast("string"))
-    lengths = [r[0] for r in map_text(tests, lambda b: _grams(b, "item_id", list(range(1, size + 1)), size), "item_id string, at long, n long, h long").select("n").distinct().collect()]
-    wanted = map_text(tests, lambda b: _grams(b, "item_id", lengths, size), "item_id string, at long, n long, h long").groupBy("n", "h").agg(F.collect_set("item_id").alias("owners"))
-    there = map_text(rows, lambda b: _grams(b, "doc_id", lengths, 0), "doc_id long, at long, n long, h long")
-    met = there.join(wanted, ["n", "h"]).select("doc_id", "owners", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word"))
-    hits = met.groupBy("doc_id").agg(F.count_distinct("word").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("names"))
-    ascii_low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counted = rows.groupBy("doc_id").agg(F.max(F.coalesce(F.regexp_count(ascii_low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0))).cast("long").alias("n_words"))
-    out = counted.join(hits.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.size(names).cast("long").alias("n_near_items"),
-    )
-
-
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
