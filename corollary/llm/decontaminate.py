@@ -21,6 +21,7 @@ from .arrowmap import filter_text, map_text
 from .bytescan import LETTERS_DIGITS, column_bytes, words
 from .scratch import write_once
 
+MATCHES = "doc_id long, item_id string, start long, kind string"
 #: Bytes of test texts whose windows are broadcast at once; more are searched for block by block.
 BROADCAST_LIMIT = 32 << 20
 #: Windows whose places are compared at once for proximity.
@@ -176,6 +177,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     return map_text(rows, lambda batch: _search(batch, shared.value, slop, share), SCHEMA)
 
 
+def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, share: float = 0.8, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Rows of MATCHES: every place of every match that ``decontaminate`` counts.
+
+    ``start`` is the word of the document at which the window starts; that of a near match may lie up to
+    ``slop`` words and a window before the document's first. An item's exact and near matches are both listed.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tests = _usable(items)
+    shared = _shared_windows(tests, size, limit)
+    if shared is not None:
+        return map_text(rows, lambda batch: _listed(batch, shared.value, slop, share), MATCHES)
+    out = None
+    for windows in _blocks(tests, size, limit):
+        block = rows.sparkSession.sparkContext.broadcast(windows)
+        part = write_once(map_text(rows, lambda batch, block=block: _listed(batch, block.value, slop, share), MATCHES), "matches")
+        block.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _usable(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
 
@@ -300,6 +321,18 @@ def _found(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.Rec
     )
 
 
+def _listed(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.RecordBatch:
+    first, doc_of, (win, pos), (near, at, anchor) = _matches(batch, w, slop, share)
+    found = set()
+    for wins, starts, places, kind in ((win, pos, pos, "exact"), (near, at, anchor, "near")):
+        docs = doc_of[places]
+        for doc, i, start in zip(docs.tolist(), wins.tolist(), (starts - first[docs]).tolist()):
+            found.update((doc, w.names[k], start, kind) for k in w.owners[i])
+    doc, item, start, kind = zip(*sorted(found)) if found else ((),) * 4
+    ids = batch.column("doc_id").take(pa.array(doc, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(kind, pa.string())], [part.split()[0] for part in MATCHES.split(", ")])
+
+
 def _search(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.RecordBatch:
     first, doc_of, (win, pos), (near, _, anchor) = _matches(batch, w, slop, share)
     step = np.zeros(len(doc_of) + 1, np.int64)

@@ -2,8 +2,9 @@
 
 import random
 import re
+from collections import defaultdict
 
-from corollary.llm import decontaminate
+from corollary.llm import decontaminate, queries
 
 WORDS = [f"w{k}" for k in range(14)]
 DOCS = "doc_id long, text string, note int"
@@ -57,3 +58,27 @@ def test_blocks_give_what_one_search_gives(spark):
     kept = decontaminate.without_contaminated(frame(2), items)
     assert rows(decontaminate.without_contaminated(frame(3), items, limit=0)) == rows(kept)
     assert {r["note"] for r in kept.collect()} >= {1, 3, 4, 5}
+
+
+def test_matches_are_what_is_counted(spark):
+    docs, bench = tables(spark)
+    docs = [(n, t, x) for n, (_, t, x) in enumerate(docs)]
+    frame, items = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    listed = decontaminate.matches(frame, items).collect()
+    assert sorted(listed) == sorted(decontaminate.matches(frame, items, limit=0).collect())
+    own, text = defaultdict(set), {i: t for i, t, _ in docs}
+    for r in listed:
+        own[r["doc_id"], r["kind"]].add(r["item_id"])
+        if r["kind"] == "exact":
+            words = text[r["doc_id"]].split()[r["start"] : r["start"] + 10]
+            item = bench[int(r["item_id"])][1].split()
+            assert any(words[: len(item)] == item[i : i + 10] for i in range(max(1, len(item) - 9)))
+    for r in decontaminate.decontaminate(frame, items).collect():
+        exact, near = own[r["doc_id"], "exact"], own[r["doc_id"], "near"]
+        assert (r["n_items"], r["items_sha256"], r["n_near_items"]) == (len(exact), decontaminate.digest(list(exact)), len(near))
+
+
+def test_the_query_keeps_proximity(spark):
+    got = queries.op5_benchmark_decontamination(spark, "/root/testdata/sf0.001")
+    assert got.columns == [part.split()[0] for part in decontaminate.SCHEMA.split(", ")]
+    assert got.where("n_near_items > 0").count() > 0 and got.where("n_near_items < n_items").count() == 0
