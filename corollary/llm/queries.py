@@ -25,7 +25,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_near_items besides; the SQL checks doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """The columns that the SQL checks; ``benchmark_proximity`` has n_near_items besides."""
+    return benchmark_proximity(spark, sf_dir).drop("n_near_items")
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -52,7 +56,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op2_language_id, op3_toxicity, op4_secret_scans, op5_benchmark_decontamination,
+        op1_ngram_jaccard_join, op2_language_id, op3_toxicity, op4_secret_scans, op5_benchmark_decontamination, benchmark_proximity,
         op6_exact_dedup, op7_line_dedup, op8_chat_formatting, op9_suffix_array_dedup, op10_source_mixing,
     )
 }

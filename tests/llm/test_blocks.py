@@ -78,7 +78,7 @@ def test_matches_are_what_is_counted(spark):
         assert (r["n_items"], r["items_sha256"], r["n_near_items"]) == (len(exact), decontaminate.digest(list(exact)), len(near))
 
 
-def test_the_query_keeps_proximity(spark):
-    got = queries.op5_benchmark_decontamination(spark, "/root/testdata/sf0.001")
+def test_a_query_keeps_proximity(spark):
+    got = queries.QUERIES["benchmark_proximity"](spark, "/root/testdata/sf0.001")
     assert got.columns == [part.split()[0] for part in decontaminate.SCHEMA.split(", ")]
     assert got.where("n_near_items > 0").count() > 0 and got.where("n_near_items < n_items").count() == 0
