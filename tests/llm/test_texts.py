@@ -290,40 +290,63 @@ def test_language_id_edge_cases(spark):
     assert language_id.language_id(docs.limit(0)).collect() == []
 
 
-def test_code_lengths_are_those_of_the_tree():
-    """The table's code lengths against counting by hand with escapes."""
-    text = "abracadabra abracadabra"
-    data, offsets, _ = bytescan.column_bytes(pa.array([text]))
-    context, sym = language_id.coded(data, offsets)
-    codes, seen = np.unique(context.astype(np.int64) * language_id.A + sym, return_counts=True)
-    trees = language_id.Trees(["xx"], {"xx": (codes, seen)})
+def trees_of(texts):
+    """Trees of {language: text}."""
+    counts = {}
+    for lang, text in texts.items():
+        data, offsets, _ = bytescan.column_bytes(pa.array([text]))
+        counts[lang] = np.unique(language_id.coded(data, offsets), return_counts=True)
+    return language_id.Trees(sorted(texts), counts)
+
+
+def code_length(text, probe):
+    """Bits of a probe after a text, by counting whole bytes by hand, with escapes."""
+    pad = lambda t: [0x20] * 3 + list(t.encode())
     counts = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
-    padded = [language_id.BLANK] * 3 + sym.tolist()
-    for i in range(3, len(padded)):
+    own = pad(text)
+    for i in range(3, len(own)):
         for k in range(4):
-            counts[k][tuple(padded[i - k : i])][padded[i]] += 1
+            counts[k][tuple(own[i - k : i])][own[i]] += 1
 
     def bits(history, s, k):
         if k < 0:
-            return np.log2(language_id.A)
-        own = counts[k].get(tuple(history[len(history) - k :]), {})
-        total, kinds = sum(own.values()), len(own)
-        if not total or (k == 3 and total < language_id.MIN_SEEN):
+            return 8.0
+        seen = counts[k].get(tuple(history[len(history) - k :]), {})
+        total, kinds = sum(seen.values()), len(seen)
+        if not total:
             return bits(history, s, k - 1)
-        return np.log2((total + kinds) / own[s]) if own.get(s) else np.log2((total + kinds) / kinds) + bits(history, s, k - 1)
+        return np.log2((total + kinds) / seen[s]) if seen.get(s) else np.log2((total + kinds) / kinds) + bits(history, s, k - 1)
+
+    after = pad(probe)
+    return sum(bits(after[i - 3 : i], after[i], 3) for i in range(3, len(after)))
 
-    for probe in (text, "cadabra zebra", "q"):
+
+def test_code_lengths_are_those_of_the_tree():
+    """The tables' code lengths against counting by hand with escapes, of every byte as it is."""
+    texts = {"xx": "abracadabra Abracadabra", "yy": "été à la plage, été 12", "zz": "cadaver"}
+    trees = trees_of(texts)
+    for probe in (*texts.values(), "cadabra zebra", "q", "É\x00 abr", "été"):
         data, offsets, _ = bytescan.column_bytes(pa.array([probe]))
-        sym = language_id.SYMBOL[data].tolist()
-        want = sum(bits(([language_id.BLANK] * 3 + sym)[i : i + 3], s, 3) for i, s in enumerate(sym))
-        assert abs(trees.lengths(data, offsets)[0, 0] - want) < 1e-3
+        got = trees.lengths(data, offsets)[0]
+        for k, lang in enumerate(sorted(texts)):
+            assert abs(got[k] - code_length(texts[lang], probe)) < 1e-3, (lang, probe)
+
+
+def test_no_language_loses_its_contexts():
+    """Of seventy languages, each with words of its own, each knows its own: code lengths are those of each alone."""
+    rng = random.Random(4)
+    texts = {f"l{k:02}": " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for k in range(70)}
+    trees = trees_of(texts)
+    for k, (lang, text) in enumerate(sorted(texts.items())):
+        data, offsets, _ = bytescan.column_bytes(pa.array([text]))
+        got = trees.lengths(data, offsets)[0]
+        assert got.argmin() == k and abs(got[k] - code_length(text, text)) < 1e-2
 
 
 def test_code_lengths_do_not_depend_on_the_segments(monkeypatch):
     texts = ["abra " * 50, "", "x", "cadabra, " * 90]
     data, offsets, _ = bytescan.column_bytes(pa.array(texts))
-    context, sym = language_id.coded(data, offsets)
-    trees = language_id.Trees(["xx"], {"xx": np.unique(context.astype(np.int64) * language_id.A + sym, return_counts=True)})
+    trees = trees_of({"xx": "abra " * 50 + "cadabra, " * 30})
     whole = trees.lengths(data, offsets)
     monkeypatch.setattr(language_id, "SEGMENT", 37)
     assert np.allclose(trees.lengths(data, offsets), whole, atol=1e-3)
