@@ -16,8 +16,13 @@ The steps:
    Frequent tokens are salted over several buckets.
 3. Lists of many nodes are collapsed first: each node is verified against a few leaders of the list, and
    what links is one component. A group of m near copies so costs a few pairs for each copy, not m**2.
-4. All pairs of the remaining lists whose nodes are in different components are counted by shared prefix
-   tokens, filtered by the number required, and verified. Pairs inside a component cannot change the result.
+4. In the remaining lists, pairs of nodes in different components are counted by shared prefix tokens.
+   Each set has a bitmap of the parities of its tokens' hashes: what two bitmaps differ in bounds how much
+   the sets share, and only pairs that can still be similar, and that can still share as many prefix tokens
+   as required, become rows. They are verified. Pairs inside a component cannot change the result. Long
+   lists are cut into blocks, and each pair of blocks is a cell of its own, so that no list has to meet in
+   one task. Of long lists a spanning forest of the likeliest links is verified before all that is left,
+   so that a group of m copies, few of them similar to a leader, again costs a few pairs for each.
 """
 
 from __future__ import annotations
@@ -46,8 +51,16 @@ L_MAX, EMIT, MEET, VERIFY = 4, 1.0, 0.5, 20.0
 SALT = 2000
 #: Nodes in a list from which it is collapsed by leaders, and leaders for each.
 LARGE, LEADERS = 8, 3
-#: Nodes in a list from which the lists of one leader are dealt to several tasks.
-SPREAD = 64
+#: Postings of the lists of one leader that are dealt together; more are spread over several cells.
+SPREAD = 8000
+#: Nodes of a list in one block: a longer list is dealt as pairs of blocks.
+BLOCK = 4000
+#: Nodes in a list from which its likeliest links are verified first.
+CROWD = 4
+#: Bits of a set's bitmap for each token, and words of bitmaps that are compared at once.
+BITS, AT_ONCE = 4, 1 << 21
+#: Tokens (in all documents) for which there is one bucket of postings.
+BUCKET = 4_000_000
 #: Ids of documents to verify that are broadcast; more are joined in a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -59,6 +72,22 @@ def signature(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+FIRST = ["kind", "doc_id", "n", "sa", "sb", "cells", "bits"]
+
+
+def parities(found: np.ndarray) -> bytes:
+    """A bitmap of at least BITS bits for each token, a power of two: the parity of the tokens of each place.
+
+    Two sets of one place count differ in at least as many tokens as their bitmaps differ in bits. The
+    exclusive or of a bitmap's halves is the bitmap of half the places.
+    """
+    if not len(found):
+        return b""
+    places = 1 << max(6, int(BITS * len(found) - 1).bit_length())
+    seen = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((seen & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _first_pass(batches):
     """Rows (kind 0) of documents, then rows (kind 1) of the task's sketch: places in a slice, and counts."""
     cells = np.zeros(CELLS, np.int32)
@@ -71,8 +100,8 @@ def _first_pass(batches):
             signs = [signature(s) for s in sets]
             n = piece.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.nulls(n, pa.binary())],
-                ["kind", "doc_id", "n", "sa", "sb", "cells"],
+                [pa.array(np.zeros(n, np.int32)), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.nulls(n, pa.binary()), pa.array([parities(s) for s in sets], pa.binary())],
+                FIRST,
             )
     found = []
     for k, part in enumerate(cells.reshape(SLICES, -1)):
@@ -82,7 +111,7 @@ def _first_pass(batches):
     if found:
         none = pa.nulls(len(found), pa.int64())
         numbers, blobs = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(numbers, pa.int64()), none, none, pa.array(blobs, pa.binary())], ["kind", "doc_id", "n", "sa", "sb", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(numbers, pa.int64()), none, none, pa.array(blobs, pa.binary()), pa.nulls(len(found), pa.binary())], FIRST)
 
 
 def _levels(mean: float):
@@ -240,21 +269,26 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return write_once(map_text(two, _verified, "u long, v long", column="left"), "links")
 
 
+def _of_nodes(rows: DataFrame, nodes: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+    """The ``rows`` of the smallest doc_id of each of the ``nodes``, with node, sa and sb (where ``more`` are also on the rows, equal)."""
+    wanted = write_once(nodes.join(classes, "node").withColumnRenamed("least", "doc_id"), "wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", *more])
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, tokens) of the documents in candidate pairs: their whole sets, sorted, as bytes."""
-    nodes = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    wanted = write_once(nodes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id"), "wanted")
-    rows = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    rows = _of_nodes(docs, nodes, classes)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets, _ = column_bytes(batch.column("text"))
         found = list(shingle_sets(data, offsets, K))
         signs = list(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()))
         same = [signature(s) == sign for s, sign in zip(found, signs)]
-        ids = batch.column("doc_id").filter(pa.array(same, pa.bool_()))
+        ids = batch.column("node").filter(pa.array(same, pa.bool_()))
         return pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], ["node", "tokens"])
 
-    return write_once(map_text(rows, each, "node long, tokens binary"), "sets")
+    return write_once(map_text(rows, each, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
 
 def _enough(counted: DataFrame) -> DataFrame:
@@ -267,68 +301,184 @@ def _enough(counted: DataFrame) -> DataFrame:
 
 
 COUNTED = "u long, v long, shared long, n long, m long, rest long, left long"
+CELL = "cell long, token long, node long, n long, rest long, root long, side int, bits binary"
 HELD, CODES = 200_000, 4_000_000
 
 
-def _count_pairs(held: list[pa.RecordBatch]):
-    """Pairs of different components in the lists of some tokens, with the number of lists that they share."""
-    table = pa.Table.from_batches(held)
-    token, node, n, rest, root = (table.column(c).to_numpy() for c in ("token", "node", "n", "rest", "root"))
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+class Bitmaps:
+    """Bitmaps of nodes, as rows of 64-bit words: one matrix for each length."""
+
+    def __init__(self, bits: dict[int, bytes], names: np.ndarray):
+        words = [np.frombuffer(bits[x], np.uint64) for x in names.tolist()]
+        self.width = np.array([len(w) for w in words], np.int64)
+        self.row, self.rows = np.zeros(len(names), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.row[own] = np.arange(len(own))
+            self.rows[width] = np.stack([words[i] for i in own])
+
+    def _folded(self, at: np.ndarray, width: int, to: int) -> np.ndarray:
+        out = self.rows[width][self.row[at]]
+        while out.shape[1] > to:
+            half = out.shape[1] // 2
+            out = out[:, :half] ^ out[:, half:]
+        return out
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of nodes, a lower bound of the number of tokens that only one of them has."""
+        out = np.zeros(len(a), np.int64)
+        x, y = self.width[a], self.width[b]
+        for wide, other in {*zip(x.tolist(), y.tolist())}:
+            every = np.flatnonzero((x == wide) & (y == other))
+            to = min(wide, other)
+            step = max(1, AT_ONCE // max(wide, other))
+            for lo in range(0, len(every), step):
+                part = every[lo : lo + step]
+                words = self._folded(a[part], wide, to) ^ self._folded(b[part], other, to)
+                out[part] = np.bitwise_count(words).sum(1, dtype=np.int64)
+        return out
+
+
+def needed(n, m):
+    """Tokens that sets of ``n`` and ``m`` must share to be similar."""
+    return -(-NUM * (n + m) // (NUM + DEN))
+
+
+def _forest(x: np.ndarray, y: np.ndarray, parent: dict[int, int]) -> np.ndarray:
+    """Which of the pairs, in this order, join two trees of a forest; ``parent`` is the forest so far."""
+
+    def top(i):
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = np.zeros(len(x), bool)
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        i, j = top(i), top(j)
+        if i != j:
+            parent[i], out[k] = j, True
+    return out
+
+
+def _count_pairs(table: pa.Table, bits: dict[int, bytes], forest: bool):
+    """Pairs of different components in the lists of some tokens, with the number of lists that they share.
+
+    Only pairs whose sizes, bitmaps and shared prefix tokens allow similarity are handed on; with
+    ``forest`` only so many of them, the nearest first, as would join components.
+    """
+    cell, token, node, n, rest, root, side = (table.column(c).to_numpy() for c in ("cell", "token", "node", "n", "rest", "root", "side"))
+    order = np.lexsort((root, token, cell))
+    cell, token, node, n, rest, root, side = (c[order] for c in (cell, token, node, n, rest, root, side))
+    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])])
+    first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, len(token)))
-    left = np.repeat(first + size, size) - np.arange(len(token)) - 1  # rows of the list after each row
+    run = np.flatnonzero(fresh | np.concatenate([[True], root[1:] != root[:-1]]))
+    length = np.diff(np.append(run, len(token)))
+    after = np.repeat(run + length, length)  # the first row of another component
+    left = np.repeat(first + size, size) - after  # rows of the list from there
     names, index = np.unique(node, return_inverse=True)
     row_of = np.zeros(len(names), np.int64)
     row_of[index] = np.arange(len(index))
-    codes, waiting = [], 0
+    elsewhere = (n - rest)[row_of] - np.bincount(index, minlength=len(names))  # prefix tokens in other lists
+    maps, trees = Bitmaps(bits, names), {}
+    codes, waiting, parts = [], 0, 0
 
-    def counted():
+    def counted(whole: bool):
         code, shared = np.unique(np.concatenate(codes), return_counts=True)
-        u, v = row_of[code // len(names)], row_of[code % len(names)]
+        x, y = code // len(names), code % len(names)
+        u, v = row_of[x], row_of[y]
+        if whole:
+            can = shared + np.minimum(elsewhere[x], elsewhere[y]) >= needed(n[u], n[v]) - np.maximum(rest[u], rest[v])
+            x, y, u, v, shared = x[can], y[can], u[can], v[can], shared[can]
+        spare = n[u] + n[v] - 2 * needed(n[u], n[v]) - maps.differing(x, y)
+        near = np.flatnonzero(spare >= 0)
+        if forest:
+            near = near[np.argsort(-spare[near] / (n[u] + n[v])[near], kind="stable")]
+            near = near[_forest(root[u[near]], root[v[near]], trees)]
+        u, v, shared = u[near], v[near], shared[near]
         columns = (node[u], node[v], shared, n[u], n[v], rest[u], rest[v])
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [c.split()[0] for c in COUNTED.split(", ")])
 
     at = np.flatnonzero(left > 0)
-    for step in range(1, int(size.max())):
-        at = at[left[at] >= step]
-        other = at + step
+    for step in range(int(left.max(initial=0))):
+        at = at[left[at] > step]
+        other = after[at] + step
         low, high = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
-        fits = (root[at] != root[other]) & (DEN * low >= NUM * high)
+        fits = (DEN * low >= NUM * high) & ((side[at] == 0) | (side[at] != side[other]))
         a, b = index[at[fits]], index[other[fits]]
         if len(a):
             codes.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
             waiting += len(a)
         if waiting >= CODES:
-            yield counted()
-            codes, waiting = [], 0
+            yield counted(False)
+            codes, waiting, parts = [], 0, parts + 1
     if codes:
-        yield counted()
+        yield counted(not parts)
+
 
+def _likely_links(batches):
+    yield from _pair_lists(batches, True)
 
-def _pair_lists(batches):
-    """_count_pairs over rows sorted by group and token, some whole lists at a time."""
-    held, rows = [], 0
+
+def _pair_lists(batches, forest: bool = False):
+    """_count_pairs over rows sorted by cell and token, some whole lists at a time.
+
+    A cell's rows start with those that have no token but a node's bitmap; these are held while the cell lasts.
+    """
+    held, rows, bits, last = [], 0, {}, None
+    names = [c.split()[0] for c in CELL.split(", ")]
     for batch in batches:
-        while batch.num_rows:
-            token = batch.column("token").to_numpy()
-            cut = batch.num_rows
-            if rows + cut >= HELD:  # cut where a list ends
-                ends = np.flatnonzero(token[1:] != token[:-1]) + 1
-                if held and held[-1].column("token")[held[-1].num_rows - 1].as_py() != token[0]:
-                    ends = np.concatenate([[0], ends])
-                ends = ends[rows + ends >= HELD] if (rows + ends >= HELD).any() else ends[-1:]
-                if len(ends):
-                    cut = int(ends[0])
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                    yield from _count_pairs(held)
-                    held, rows, batch = [], 0, batch.slice(cut)
-                    continue
-            held.append(batch)
-            rows += cut
-            break
+        cell = batch.column("cell").to_numpy()
+        lists = batch.column("token").is_valid().to_numpy(zero_copy_only=False)
+        token = batch.column("token").fill_null(0).to_numpy()
+        edge = np.ones(len(cell), bool)
+        edge[1:] = (cell[1:] != cell[:-1]) | (token[1:] != token[:-1]) | (lists[1:] != lists[:-1])
+        ends = np.flatnonzero(edge)
+        if last is not None and len(cell) and last == (cell[0], token[0], lists[0]):
+            ends = ends[1:]  # a list goes on
+        lo = 0
+        while lo < len(cell):
+            far = ends[(ends > lo) & (rows + ends - lo >= HELD)]
+            hi = int(far[0]) if len(far) else len(cell)
+            part, is_list = batch.slice(lo, hi - lo), lists[lo:hi]
+            given = np.flatnonzero(~is_list)
+            if len(given):
+                bits |= zip(part.column("node").take(pa.array(given)).to_pylist(), part.column("bits").take(pa.array(given)).to_pylist())
+            if is_list.any():
+                held.append(part.select(names[:7]).filter(pa.array(is_list)))
+            rows += hi - lo
+            if len(far):
+                if held:
+                    yield from _count_pairs(pa.Table.from_batches(held), bits, forest)
+                if hi and cell[hi] != cell[hi - 1]:
+                    bits = {}
+                held, rows = [], 0
+            lo = hi
+        if len(cell):
+            last = (cell[-1], token[-1], lists[-1])
     if held:
-        yield from _count_pairs(held)
+        yield from _count_pairs(pa.Table.from_batches(held), bits, forest)
+
+
+def _rooted(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``rows`` with the root of each node's component."""
+    found = near.select(F.col("node").alias("c"), F.col("root").alias("r"))
+    return rows.join(found, F.col("node") == F.col("c"), "left").withColumn("root", F.coalesce("r", "node")).drop("c", "r")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of lists with nodes of several components."""
+    mixed = rows.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t")
+    return rows.join(mixed, F.col("token") == F.col("t"), "left_semi")
+
+
+def _dealt(left: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Rows of CELL: the postings of each cell after the bitmaps of its nodes."""
+    none = lambda *names: [F.lit(None).cast("long").alias(x) for x in names]
+    maps = left.select("cell", "node").distinct().join(drawn, "node").select("cell", *none("token"), "node", *none("n", "rest", "root"), F.lit(None).cast("int").alias("side"), "bits")
+    rows = left.drop("size").withColumn("bits", F.lit(None).cast("binary")).unionByName(maps)
+    return rows.select(*(c.split()[0] for c in CELL.split(", "))).repartition("cell").sortWithinPartitions("cell", F.col("token").asc_nulls_first())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -346,18 +496,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = write_once(rows.mapInArrow(_first_pass, "kind int, doc_id long, n long, sa long, sb long, cells binary"), "signed")
-    signed = first.where("kind = 0").select("doc_id", "n", "sa", "sb")
-    mean = (signed.agg(F.sum("n")).first()[0] or 0) / CELLS
+    first = write_once(rows.mapInArrow(_first_pass, "kind int, doc_id long, n long, sa long, sb long, cells binary, bits binary"), "signed")
+    signed = first.where("kind = 0").select("doc_id", "n", "sa", "sb", "bits")
+    tokens = signed.agg(F.sum("n")).first()[0] or 0
+    mean = tokens / CELLS
     slices = first.where("kind = 1").select("n", "cells").repartition("n").mapInArrow(_levels(mean), "n long, cells binary")
     level = np.zeros((SLICES, CELLS // SLICES), np.uint8)
     for k, blob in slices.collect():  # a byte for each of CELLS, whatever the corpus
         level[k] = np.frombuffer(bytes(blob), np.uint8)
     order = spark.sparkContext.broadcast(Order(level.ravel()))
-    classes = write_once(signed.where("n > 0").groupBy("sa", "sb").agg(F.min("doc_id").alias("node")), "classes")
+    least = signed.where("n > 0").groupBy("sa", "sb").agg(F.min("doc_id").alias("least"))
+    classes = write_once(least.where("least IS NOT NULL").withColumn("node", F.monotonically_increasing_id()), "classes")
     settle(spark)
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET)
 
     def emit(batches):
         known: set = set()
@@ -371,7 +523,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = write_once(packed.mapInArrow(_lists, "token long, sa long, sb long, n long, rest long"), "postings")
     settle(spark)
 
-    named = lists.join(classes.where("node IS NOT NULL"), ["sa", "sb"]).groupBy("token", "node").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
+    named = lists.join(classes.drop("least"), ["sa", "sb"]).groupBy("token", "node").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
     posted = write_once(named, "lists")
     leader = lambda i: F.struct(*([F.xxhash64(F.lit(i), "node").alias("rank")] if i else []), "node", "n", "rest")
     stats = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(F.min(leader(i)).alias(f"leader{i}") for i in range(LEADERS)))
@@ -387,21 +539,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     settle(spark)
     near = components(found)
     # lists of one leader are dealt together, so that a pair's shared tokens are mostly counted where they meet
-    spread = F.pmod(F.xxhash64("token"), F.greatest(F.lit(1), (F.col("size") / SPREAD).cast("long")))
-    homes = stats.select(F.col("token").alias("t"), F.col("leader0.node").alias("home"), spread.alias("spread"))
-    at = posted.join(homes, F.col("token") == F.col("t"))
-    at = at.join(near.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
-    at = write_once(at.select("home", "spread", "token", "node", "n", "rest", F.coalesce("root", "node").alias("root")), "lists")
-    mixed = at.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t")
-    left = at.join(mixed, F.col("token") == F.col("t"), "left_semi").repartition("home", "spread").sortWithinPartitions("home", "token")
-    met = left.select("token", "node", "n", "rest", "root").mapInArrow(_pair_lists, COUNTED)
-    met = met.groupBy("u", "v").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
-    pairs = _enough(met)
+    homes = stats.groupBy(F.col("leader0.node").alias("home")).agg(F.ceil(F.sum("size") / SPREAD).alias("cells"), F.ceil(F.max("size") / BLOCK).alias("blocks"))
+    lists = stats.select(F.col("token").alias("t"), F.col("leader0.node").alias("home"), "size").join(homes, "home")
+    spread = F.pmod(F.xxhash64("token"), F.col("cells"))
+    at = posted.join(lists, F.col("token") == F.col("t")).select("home", spread.alias("spread"), "blocks", "size", "token", "node", "n", "rest")
+    mixed = _mixed(write_once(_rooted(at, near), "lists")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    left = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    left = write_once(left.select(F.xxhash64("home", "spread", "blocks", low, high).alias("cell"), "token", "node", "n", "rest", "root", side.alias("side"), "size"), "cells")
+    drawn = write_once(_of_nodes(signed.drop("n"), left.select("node").distinct(), classes, "sa", "sb").select("node", "bits").dropDuplicates(["node"]), "drawn")
+    likely = _dealt(left.where(F.col("size") >= CROWD), drawn).mapInArrow(_likely_links, COUNTED)
+    likely = write_once(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "likely")
+    settle(spark)
+    if likely.limit(1).count():
+        found = found.unionByName(_links(likely, _sets(rows, likely, classes)))
+        settle(spark)
+        near = components(found)
+        left = write_once(_mixed(_rooted(left.drop("root"), near)), "cells")
+    met = _dealt(left, drawn).mapInArrow(_pair_lists, COUNTED)
+    met = met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("n", "m", "rest", "left")))
+    pairs = _enough(met.join(likely, ["u", "v"], "left_anti"))
     settle(spark)
     more = _links(pairs, _sets(rows, pairs, classes))
     settle(spark)
     roots = components(found.unionByName(more)) if more.limit(1).count() else near
 
-    rooted = classes.join(roots.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("sa", "sb", F.coalesce("root", "node").alias("component"))
+    linked = roots.join(classes.select(F.col("node"), "least"), "node")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(smallest, "root").select(F.col("node").alias("c"), "component")
+    rooted = classes.join(linked, F.col("node") == F.col("c"), "left").select("sa", "sb", F.coalesce("component", "least").alias("component"))
     out = signed.join(rooted, ["sa", "sb"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
