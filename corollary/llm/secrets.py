@@ -1,4 +1,4 @@
-"""Secret scan: three fixed patterns, and an assignment-aware lexer that follows constants to their uses."""
+"""Secret scan: three fixed patterns, and the literals that an assignment-aware lexer finds under sensitive names."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_text
 from .bytescan import column_bytes
+from .lexer import assignments
 
 KINDS = ("assign", "access", "hex", "literal")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
@@ -23,7 +24,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Name parts and the sensitivity that they lend to a target; words that mark a stand-in.
 SENSITIVE = {
@@ -33,12 +33,6 @@ SENSITIVE = {
 STAND_INS = ("example", "changeme", "placeholder", "your", "xxxx", "dummy", "sample", "redacted", "todo", "none", "null")
 THRESHOLD = 4.0
 
-TOKEN = re.compile(
-    r"""(?P<name>["']?[A-Za-z_][A-Za-z0-9_.\-]*["']?(?:\s*\[["'][A-Za-z0-9_.\-]+["']\])?)[ \t]*(?P<op>:=|=>|==|!=|<=|>=|=|:)[ \t]*"""
-    r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|\$\{[A-Za-z_]\w*\}|[^\s"'`,;(){}\[\]]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][\w.]*))*)""",
-    re.ASCII,
-)
-PART = re.compile(r"""(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|\$\{(?P<ref>[A-Za-z_]\w*)\}|(?P<bare>[^\s"'`+]+)""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -58,28 +52,6 @@ def randomness(literal: str) -> float:
     return min(n, 24) / 12 * (entropy / 4) + 0.5 * (classes - 1)
 
 
-def assignments(text: str):
-    """(name, literal, [(start, end), ...]) of each assignment, with constants put in for their names.
-
-    The spans are those of the source literals, in code points and without quotes: a constant that
-    reaches a sensitive name through other names is reported where its literal stands.
-    """
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    for m in TOKEN.finditer(text):
-        if m["op"] in ("==", "!=", "<=", ">="):
-            continue
-        name, found = m["name"].strip("\"'"), []
-        for part in PART.finditer(text, m.start("value"), m.end("value")):
-            if part["text"]:
-                found.append((part["text"][1:-1], part.start() + 1, part.end() - 1))
-            elif ref := part["ref"] or part["bare"].lstrip("$"):
-                found += known.get(ref) or known.get(ref.rsplit(".", 1)[-1]) or ([(part["bare"], part.start(), part.end())] if part["bare"] else [])
-        if found:
-            for key in (name, name.rsplit(".", 1)[-1]):
-                known[key] = found
-            yield name, "".join(x for x, _, _ in found), [(s, e) for _, s, e in found if e > s]
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns' matches, leftmost and non-overlapping by kind."""
     found = []
@@ -106,22 +78,32 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
 
+#: Beginnings of the parts of names that can reach the lexer's least weight, and of the keywords of the base patterns.
+STEMS = tuple(sorted({k.encode() for k, v in SENSITIVE.items() if not any(k != o and k.startswith(o) for o in SENSITIVE)} | {b"api_key", b"api"}))
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Numbers of the documents that can have any span; the others are settled without decoding."""
     raw = data.tobytes()
-    low, places = raw.lower(), []
-    for source, needles in ((low, KEYWORDS), (raw, (b"AKIA",))):
+    found = np.zeros(len(offsets) - 1, bool)
+    for source, needles in ((raw.lower(), STEMS), (raw, (b"AKIA",))):
         for needle in needles:
             at = source.find(needle)
             while at >= 0:
-                places.append(at)
-                at = source.find(needle, at + 1)
+                doc = int(np.searchsorted(offsets, at, "right")) - 1
+                found[doc] = True
+                at = source.find(needle, int(offsets[doc + 1]))
     mask = np.zeros(len(data) + 2, np.int8)
     mask[1:-1] = _HEX[data]
-    edge = np.flatnonzero(np.diff(mask))
-    places = np.concatenate([np.array(places, np.int64), *((s + np.arange(0, e - s, 24)) for s, e in edge.reshape(-1, 2)[(edge[1::2] - edge[::2]) >= 24]), np.flatnonzero((data == 0x3D) | (data == 0x3A))])
-    docs = np.searchsorted(offsets, places, "right") - 1
-    return np.unique(docs)
+    edge = np.flatnonzero(np.diff(mask)).reshape(-1, 2)
+    runs = edge[edge[:, 1] - edge[:, 0] >= 24]
+    if len(runs):  # a run may go on over several documents
+        first, last = np.searchsorted(offsets, runs[:, 0], "right") - 1, np.searchsorted(offsets, runs[:, 1] - 1, "right") - 1
+        step = np.zeros(len(offsets), np.int64)
+        np.add.at(step, first, 1)
+        np.subtract.at(step, last + 1, 1)
+        found |= np.cumsum(step[:-1]) > 0
+    return np.flatnonzero(found)
 
 
 def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,7 +131,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Base spans are those of BASE, kept whatever the lexer finds. The lexer adds kind "literal" for
     literals that reach a sensitive name, unless a base match has the very same span. Offsets are code points, end exclusive.
     A null text counts as empty; empty texts have no spans; repeated rows give repeated results; an
-    empty table gives an empty result. Texts are scanned whole, one after the other, with no shuffle.
-    Only documents with a keyword, "AKIA", a long hex run or an assignment sign are decoded.
+    empty table gives an empty result. Texts are scanned whole, in time that grows with their length only,
+    one after the other, with no shuffle. Only documents with a part of a sensitive name, "AKIA" or a long
+    hex run are decoded. Extra columns are ignored.
     """
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _scan, SCHEMA)
