@@ -23,10 +23,12 @@ Batch = Callable[[list[tuple]], list[bool | None]]
 @dataclass
 class Registry:
     known: dict[str, Batch] = field(default_factory=dict)
+    #: Names that have facts or rules; a knowledge base fills this in.
+    taken: Callable[[], set[str]] = set
 
     def register(self, name: str, one: Callable[..., bool | None] | None = None, batch: Batch | None = None, used: set[str] = frozenset()) -> None:
-        """Dispatch ``name`` to a backend. Refused where facts of that name exist already."""
-        if name in used:
+        """Dispatch ``name`` to a backend. Refused where facts or rules of that name exist already."""
+        if name in used or name in self.taken():
             raise RuleError(f"{name} has facts and cannot be computed")
         if (one is None) == (batch is None):
             raise RuleError("one backend function wanted")

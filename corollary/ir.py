@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+#: Names of flavors and of built-in conditions.
 FLAVORS = ("bare", "past", "now", "future", "must", "may")
 COMPARISONS = ("greater", "less", "num_equal")
 ARITHMETIC = ("product", "sum", "quotient")
@@ -164,15 +165,3 @@ class Rule:
 def rule(head: Atom | tuple[Atom, ...], *body: Literal, label: str = "") -> Rule:
     heads = head if isinstance(head, tuple) else (head,)
     return Rule(heads, tuple(body), label).validate()
-
-
-def renamed_apart(r: Rule, suffix: str) -> Rule:
-    def t(x: Term) -> Term:
-        return Var(x.name + suffix) if isinstance(x, Var) else x
-
-    def lit(x: Literal) -> Literal:
-        if isinstance(x, Not):
-            return Not(lit(x.atom))
-        return replace(x, args=tuple(map(t, x.args)))
-
-    return replace(r, heads=tuple(map(lit, r.heads)), body=tuple(map(lit, r.body)), invents=tuple(v + suffix for v in r.invents))

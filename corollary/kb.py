@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,16 @@ from .language.formula import And, Count, Every, Leaf, Neg, Or, Some, free, simp
 from .language.lower import Lowering
 from .operators import aggregates, constraints, equality
 from .operators.constraints import Constraint
-from .plans import bodies, fixpoint, strata
+from .plans import bodies, demand, fixpoint, strata
 from .sources.tables import relation
 from .verdict import Verdict
-from .vocab import Vocabulary
+from .vocab import Predicate, Vocabulary
+
+
+#: How the log marks a fact that was told by plain values; violations that one statement warns of.
+_FACT = "#fact "
+_UNDECIDED = "undecided for some bindings:"
+WARNED = 100
 
 
 class Incomplete(RuntimeError):
@@ -60,6 +68,28 @@ class Bindings:
     names: dict[str, str]
 
 
+def _written(text: str) -> str:
+    """A log entry as a statement; a fact that no statement can say stays a comment."""
+    if not text.startswith(_FACT):
+        return text
+    relation, cells, flavor = json.loads(text[len(_FACT) :])
+    shown = []
+    for c in cells:
+        if c[:2] not in ("c:", "n:", "u:") or "\n" in c or c[:2] == "n:" and ("E" in c or "-" in c):
+            return text
+        shown.append("_" if c[:2] == "u:" else '"' + c[2:].replace("\\", "\\\\").replace('"', '\\"') + '"' if c[:2] == "c:" else c[2:].removesuffix(".0"))
+    return f"{'' if flavor == 'bare' else flavor + ' '}{relation}({', '.join(shown)})."
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are whole."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(p.getName()[8:]) for p in found if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 class KB:
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary | None = None, config: Config | None = None):
         self.spark = spark
@@ -67,16 +97,25 @@ class KB:
         self.config = config or Config()
         self.log: list[Statement] = []
         self.bound: dict[tuple[str, str], DataFrame] = {}
-        self.external = Registry()
+        self.external = Registry(taken=self._used)
         self.constraints: list[Constraint] = []
+        self.registered: dict[int, tuple[str, str]] = {}
         self.derived_only: set[str] = set()
         self.admitted: set[str] | None = None
         self.settings: dict[str, dict] = {}
         self.sorts: list[tuple[str, str]] = []
         self.entity_sorts: dict[str, str] = {}
+        self.place_sorts: dict[str, tuple[str, ...]] = {}
         self.warnings: list[str] = []
         self._model: tuple | None = None
 
+    def _used(self) -> set[str]:
+        """Relations that have facts, rules or a table."""
+        out = {name for name, _ in self.bound}
+        for s in self.live():
+            out |= s.content.relations() | {h.relation for r in s.content.rules for h in r.heads}
+        return out
+
     # -- statements
     def _lowered(self, claim):
         self.lowering = Lowering(self.vocabulary, frozenset(self.external.known))
@@ -100,6 +139,7 @@ class KB:
                 ids.append(self._add(render.claim(claim) + ".", content))
             strata.stratify(self.rules())
             self._check_new(before[0])
+            self._check_sorts(ids)
         except Exception:
             self.log, self.derived_only, self.admitted, self.vocabulary.known = before
             self._model = None
@@ -112,9 +152,11 @@ class KB:
         p, _ = self.vocabulary.resolve(name, len(cells))
         cells += (Const(terms.UNSPECIFIED),) * (len(p.places) - len(cells))
         before = list(self.log)
-        out = self._add(f"{name}({', '.join(map(str, args))}).", Content(facts=[Atom(p.name, cells, flavor)]))
+        fact = Atom(p.name, cells, flavor)
+        out = self._add(_FACT + json.dumps([fact.relation, [c.value for c in cells], flavor]), Content(facts=[fact]))
         try:
             self._check_new(before)
+            self._check_sorts([out])
         except Exception:
             self.log = before
             raise
@@ -127,7 +169,7 @@ class KB:
             cells = []
             for p in places:
                 number = kinds[p].startswith(("int", "bigint", "double", "float", "smallint", "tinyint", "decimal"))
-                cells.append(F.concat(F.lit("n:"), F.col(p).cast("double").cast("string")) if number else F.concat(F.lit("c:"), F.col(p).cast("string")))
+                cells.append(terms.numbers(F.col(p), kinds[p]) if number else F.concat(F.lit("c:"), F.col(p).cast("string")))
             made = relation(df, *cells)
         else:
             made = relation(df, *places)
@@ -151,16 +193,34 @@ class KB:
             self.derived_only.add(name)
         return True
 
-    def declare(self, derived: list[str] = (), admits: list[str] = (), sorts: list[tuple[str, str]] = (), entities: dict[str, str] | None = None) -> KB:
-        """Declarations by call: derived-only relations, admitted ones, (sub, super) sorts, sorts of entities."""
+    def declare(self, derived: list[str] = (), admits: list[str] = (), sorts: list[tuple[str, str]] = (), entities: dict[str, str] | None = None, places: dict[str, tuple[str, ...]] | None = None) -> KB:
+        """Declarations by call: derived-only relations, admitted ones, (sub, super) sorts, sorts of entities, sorts of relations' places ("" is any)."""
         for name in derived:
             self.tell(f'derived_only("{name}").')
         for name in admits:
             self.tell(f'admits("{name}").')
         self.sorts += sorts
         self.entity_sorts |= {terms.name(k): v for k, v in (entities or {}).items()}
+        self.place_sorts |= places or {}
         return self
 
+    def _misplaced(self, statements) -> list[tuple[str, str, str]]:
+        """(relation, place, entity) of facts whose entity is of a sort that the place's sort does not hold. Entities without a sort fit anywhere."""
+        out = []
+        for s in statements:
+            for a in s.content.facts:
+                for i, (t, wanted) in enumerate(zip(a.args, self.place_sorts.get(a.relation, ())), 1):
+                    own = self.entity_sorts.get(t.value)
+                    if wanted and own and wanted not in self.sorts_above(own):
+                        out.append((a.relation, str(i), t.value))
+        return out
+
+    def _check_sorts(self, ids: list[int]) -> None:
+        found = self._misplaced([self.log[i] for i in ids])
+        if found and self.config.strict:
+            raise RuleError(f"sort of {found[0]}")
+        self.warnings += [f"sort of {x}" for x in found]
+
     def sorts_above(self, sort: str) -> set[str]:
         out, todo = {sort}, [sort]
         while todo:
@@ -186,18 +246,32 @@ class KB:
         return len(self.log) - 1
 
     def _check_new(self, before: list[Statement]) -> None:
-        """Violations that the new statements bring: errors where strict, else warnings."""
-        if not (self.constraints or any(s.content.constraints for s in self.live())):
+        """Violations that the new statements bring: an error where strict, else warnings.
+
+        Constraints and denials that the new statements cannot reach are not asked again.
+        """
+        old = {s.id for s in before}
+        touched, equal = set(), False
+        for s in self.log:
+            if s.id not in old:
+                c = s.content
+                touched |= c.relations() | {a.relation for a in c.denials} | {h.relation for r in c.rules for h in r.heads}
+                touched |= {x.relation for k in c.constraints for x in (*(y.atom if isinstance(y, Not) else y for y in k.body if not isinstance(y, Check)), *k.cases)}
+                equal |= bool(c.equations or c.inequalities)
+        read = {a.relation for s in self.live() for a in s.content.denials}
+        for k in (*self.constraints, *(k for s in self.live() for k in s.content.constraints)):
+            read |= {x.atom.relation if isinstance(x, Not) else x.relation for x in (*k.body, *k.cases) if not isinstance(x, Check)}
+        if not equal and not touched & strata.demanded(self.rules(), read):
             return
-        found = [tuple(r) for r in self.violations().collect()]
-        old, self.log = self.log, before
+        found = self.violations()
+        now, self.log = self.log, before
         self._model = None
         try:
-            known = {tuple(r) for r in self.violations().collect()} if found else set()
+            found = found.exceptAll(self.violations())
         finally:
-            self.log = old
+            self.log = now
             self._model = None
-        new = [v for v in found if v not in known]
+        new = [tuple(r) for r in found.limit(1 if self.config.strict else WARNED).collect()]
         if new and self.config.strict:
             raise RuleError(f"violates {new[0]}")
         self.warnings += [f"violates {v}" for v in new]
@@ -227,13 +301,14 @@ class KB:
         return self.live()
 
     def reset(self) -> KB:
-        self.log, self.constraints, self._model = [], [], None
+        self.log, self.constraints, self.registered, self._model = [], [], {}, None
         return self
 
     def assuming(self, *texts: str) -> KB:
         """A copy in which the texts are told too; this one stays as it is."""
         other = copy.copy(self)
         other.log, other.constraints, other.warnings = list(self.log), list(self.constraints), []
+        other.registered, other.external = dict(self.registered), Registry(dict(self.external.known), other._used)
         other.derived_only, other.admitted = set(self.derived_only), None if self.admitted is None else set(self.admitted)
         other.vocabulary = copy.deepcopy(self.vocabulary)
         other.bound, other._model = dict(self.bound), None
@@ -302,17 +377,43 @@ class KB:
         if self._model and need <= self._model[0]:
             return self._model[1]
         canon = self._canon()
-        rules = [replace(r, heads=tuple(self._canonical(h, canon) for h in r.heads), body=tuple(self._canonical(x, canon) for x in r.body)) for r in self.rules()]
+        rules = self._canonical_rules(canon)
         limits = fixpoint.Limits(self.config.max_rounds, self.config.max_tuples)
-        made = fixpoint.evaluate(self.spark, rules, self._tables(canon), need, limits, self._test)
+        made = fixpoint.evaluate(self.spark, rules, self._tables(canon), need, limits, self._rule_test)
         self._model = (need, made)
         return made
 
+    def model_for(self, f) -> fixpoint.Model:
+        """The evaluated program for a question: constants at places of recursive relations reach the recursion."""
+        wanted = self._relations(f)
+        need = strata.demanded(self.rules(), wanted)
+        if self._model and need <= self._model[0]:
+            return self._model[1]
+        turning = demand.recursive(self.rules())
+        goals = [a for a in self._atoms(f) if a.relation in turning and any(isinstance(t, Const) and t.value != terms.UNSPECIFIED for t in a.args)]
+        free_too = {a.relation for a in self._atoms(f)} - {a.relation for a in goals}
+        whole = {a.relation for a in self._atoms(f) if a.relation in {g.relation for g in goals} and a not in goals}
+        if not goals or whole:
+            return self.model(wanted)
+        canon = self._canon()
+        limits = fixpoint.Limits(self.config.max_rounds, self.config.max_tuples)
+        return fixpoint.evaluate(self.spark, self._canonical_rules(canon), self._tables(canon), free_too, limits, self._rule_test, goals)
+
+    def _canonical_rules(self, canon: dict[str, str]) -> list[Rule]:
+        return [replace(r, heads=tuple(self._canonical(h, canon) for h in r.heads), body=tuple(self._canonical(x, canon) for x in r.body)) for r in self.rules()]
+
+    def _atoms(self, f) -> list[Atom]:
+        if isinstance(f, Leaf):
+            return [f.item] if isinstance(f.item, Atom) else []
+        if isinstance(f, (And, Or)):
+            return [a for p in f.parts for a in self._atoms(p)]
+        return self._atoms(f.part) + (self._atoms(f.within) if isinstance(f, Every) and f.within is not None else [])
+
     def domain(self, model: fixpoint.Model) -> DataFrame:
         """Individuals: every term of a fact or a rule, but for unspecified places and generated witnesses."""
         found = {t.value for r in model.rules for x in (*r.heads, *r.positive()) for t in x.args if isinstance(t, Const)}
         parts = [self.spark.createDataFrame([(v,) for v in sorted(found)], "x1 string")]
-        for df in model.facts.values():
+        for df in (df for (name, _), df in model.facts.items() if not name.startswith(demand.MARK)):
             parts += [df.select(F.col(c).alias("x1")) for c in df.columns]
         out = parts[0]
         for p in parts[1:]:
@@ -403,11 +504,25 @@ class KB:
 
     def _filtered(self, now: Bindings, c: Check) -> Bindings:
         test = self._test(c, now.names)
-        if c.op not in (*COMPARISONS, "equal") or c.op in self.external.known:
-            if now.rows.where(test.isNull()).limit(1).count():
+        if c.op != "equal":
+            undecided = test.isNull()
+            if c.op not in self.external.known:  # of numbers: other terms are no answers
+                for t in c.args:
+                    undecided &= (F.col(now.names[t.name]) if isinstance(t, Var) else F.lit(t.value)).startswith("n:")
+            if now.rows.where(undecided).limit(1).count():
                 raise Incomplete(f"{c} is undecided for some bindings")
         return Bindings(now.rows.where(test), now.names)
 
+    def _rule_test(self, c: Check, names: dict[str, str]):
+        """The filter of a rule's condition: an undecided comparison of numbers ends the evaluation, it is no silent no."""
+        test = self._test(c, names)
+        if c.op not in COMPARISONS or c.op in self.external.known:
+            return test
+        numbers = F.lit(True)
+        for t in c.args:
+            numbers &= (F.col(names[t.name]) if isinstance(t, Var) else F.lit(t.value)).startswith("n:")
+        return F.when(numbers & test.isNull(), F.raise_error(F.lit(f"{_UNDECIDED} {c}")).cast("boolean")).otherwise(test)
+
     @staticmethod
     def _join(a: Bindings, b: Bindings) -> Bindings:
         shared = [v for v in b.names if v in a.names]
@@ -444,11 +559,15 @@ class KB:
         """Whether a claim is entailed. Free ``$x`` and ``?`` are existential, shared within the claim."""
         try:
             f = self._question(text)
-            return self._verdict(f, self.model(self._relations(f)))
+            return self._verdict(f, self.model_for(f))
         except fixpoint.ResourceExceeded as e:
             return verdict.exceeded(e.kind)
         except Incomplete:
             return verdict.unknown("non-finite")
+        except PySparkException as e:
+            if _UNDECIDED not in str(e):
+                raise
+            return verdict.unknown("non-finite")
 
     def _verdict(self, f, model: fixpoint.Model) -> Verdict:
         if isinstance(f, Leaf) and isinstance(f.item, Check) and not free(f):
@@ -490,22 +609,41 @@ class KB:
         """One row per set of bindings: a column for each ``$x`` and, as _1, _2 ..., for each ``?``.
 
         Sets that differ in a determiner's own variable only are different rows, as they are for counts.
+        Equal terms are one answer; it is shown by the name that the facts in question use, the least of several.
         """
         f = self._question(text)
         hidden = []
         while isinstance(f, Some):
             hidden.append(f.var)
             f = f.part
-        got = self.rows(f, self.model(self._relations(f)))
+        got = self.rows(f, self.model_for(f))
         asked = self.lowering.anonymous
         shown = sorted(v for v in (free(f) - set(hidden)) if not v.startswith("_")) + [v for v in asked if v in free(f)]
         label = {v: f"_{asked.index(v) + 1}" if v in asked else v for v in shown}
         if got is None:
             return self.spark.createDataFrame([], ", ".join(f"{label[v]} string" for v in shown) or "found int")
         rows = got.rows.select(*[F.col(c).alias(v) for v, c in got.names.items()]).distinct() if got.names else got.rows.limit(1)
+        spelled = self._spelling(f)
+        for v in shown if spelled is not None else ():
+            rows = rows.join(F.broadcast(spelled.withColumnsRenamed({"rep": "_r", "shown": "_s"})), F.col(v) == F.col("_r"), "left").withColumn(v, F.coalesce("_s", v)).drop("_r", "_s")
         cells = [(self._decoded(F.col(v)) if decoded else F.col(v)).alias(label[v]) for v in shown]
         return rows.select(*cells) if cells else rows.select(F.lit(1).alias("found"))
 
+    def _spelling(self, f) -> DataFrame | None:
+        """(rep, shown) for classes of equal terms whose representative is not what facts of the asked relations say."""
+        canon = self._canon()
+        if not canon:
+            return None
+        asked = self._relations(f)
+        used: dict[str, str] = {}
+        for s in self.live():
+            for a in s.content.facts:
+                for t in a.args:
+                    if a.relation in asked and t.value in canon:
+                        used[canon[t.value]] = min(t.value, used.get(canon[t.value], t.value))
+        said = {r: t for r, t in used.items() if r != t}
+        return self.spark.createDataFrame(sorted(said.items()), "rep string, shown string") if said else None
+
     @staticmethod
     def _decoded(c):
         return F.when(c == "u:", F.lit(None)).when(c.startswith("d:"), F.concat(F.lit("the "), F.substring(c, 3, 1 << 20))).otherwise(F.substring(c, 3, 1 << 20))
@@ -522,22 +660,21 @@ class KB:
     def plan(self, text: str) -> DataFrame:
         """The DataFrame behind a question, for explain()."""
         f = self._question(text)
-        got = self.rows(f, self.model(self._relations(f)))
+        got = self.rows(f, self.model_for(f))
         return got.rows if got else self.spark.range(0)
 
     # -- integrity
     def register_constraint(self, text: str, label: str = "") -> None:
-        """A conjunction that must not hold for any binding."""
+        """A conjunction that must not hold for any binding. It has a place in the log, and can be retracted there."""
         f = simple(self._lowered(parser.parse_one(text)))
-        c = Compiler(f"constraint{len(self.constraints)}", text)
-        for clause in c.clauses(f):
-            self.constraints.append(Constraint(label or text, tuple(clause)))
-        if c.out.rules:
-            self.log.append(Statement(len(self.log), text, Content(rules=c.out.rules)))
+        c = Compiler(f"constraint{len(self.log)}", text)
+        found = [Constraint(label or text, tuple(clause)) for clause in c.clauses(f)]
+        self.registered[len(self.log)] = (text, label)
+        self.log.append(Statement(len(self.log), text, Content(rules=c.out.rules, constraints=found)))
         self._model = None
 
     def violations(self) -> DataFrame:
-        """(kind, label, detail): broken constraints, and facts, asserted or derived, that are also denied."""
+        """(kind, label, detail): broken constraints, facts, asserted or derived, that are also denied, equal terms that are said to differ, misplaced entities."""
         canon = self._canon()
         every = [*self.constraints, *(c for s in self.live() for c in s.content.constraints)]
         denied: dict[tuple[str, str], set] = {}
@@ -561,46 +698,137 @@ class KB:
             if have is not None:
                 both = have.intersect(df)
                 nothing = nothing.unionByName(both.select(F.lit("denied").alias("kind"), F.lit(key[0]).alias("label"), F.concat_ws(", ", *both.columns).alias("detail")))
+        plain = [("inequality", str(s.id), f"{a} = {b}") for s in self.live() for a, b in s.content.inequalities if canon.get(a, a) == canon.get(b, b)]
+        plain += [("sort", relation, f"{place}: {entity}") for relation, place, entity in self._misplaced(self.live())]
+        if plain:
+            nothing = nothing.unionByName(self.spark.createDataFrame(plain, nothing.schema))
         return nothing.distinct()
 
     # -- persistence
-    def save(self, path: str) -> None:
-        """The log as Parquet: one row per statement, retracted ones included."""
-        rows = [(s.id, s.text, s.retracted, sorted({a.relation for a in s.content.facts})) for s in self.log]
-        self.spark.createDataFrame(rows, "id long, text string, retracted boolean, relations array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+    def save(self, path: str) -> int:
+        """The whole knowledge base but its tables and backends, as a new version beside those saved before; returns its number.
+
+        One row per statement, retracted ones included, and one of declarations. A version counts once its writer is done.
+        """
+        own = {
+            "derived_only": sorted(self.derived_only), "admitted": None if self.admitted is None else sorted(self.admitted), "sorts": self.sorts, "entity_sorts": self.entity_sorts,
+            "place_sorts": self.place_sorts, "settings": self.settings, "constraints": self.registered, "aliases": self.vocabulary.aliases,
+            "places": {p.name: p.places for p in self.vocabulary.known.values()}, "open": self.vocabulary.open, "config": vars(self.config),
+        }
+        rows = [(s.id, s.text, s.retracted, sorted({a.relation for a in s.content.facts})) for s in self.log] + [(-1, json.dumps(own), False, [])]
+        number = max(_versions(self.spark, path), default=0) + 1
+        self.spark.createDataFrame(rows, "id long, text string, retracted boolean, relations array<string>").coalesce(1).write.parquet(f"{path}/version={number}")
+        return number
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, vocabulary: Vocabulary | None = None, config: Config | None = None) -> KB:
-        out = cls(spark, vocabulary, config)
-        for row in spark.read.parquet(path).orderBy("id").collect():
-            for claim in parser.parse(row["text"]):
-                content = Compiler(str(len(out.log)), render.claim(claim)).statement(out._lowered(claim))
-                out.log.append(Statement(row["id"], row["text"], content, row["retracted"]))
+    def load(cls, spark: SparkSession, path: str, vocabulary: Vocabulary | None = None, config: Config | None = None, version: int | None = None) -> KB:
+        """What save() wrote, the last whole version of it if none is named. Tables are bound, and backends registered, anew."""
+        found = _versions(spark, path)
+        if not found:
+            raise RuleError(f"nothing is saved at {path}")
+        rows = spark.read.parquet(f"{path}/version={version or max(found)}").orderBy("id").collect()
+        own = json.loads(rows[0]["text"])
+        if vocabulary is None:
+            vocabulary = Vocabulary(open=own["open"], known={n: Predicate(n, tuple(p)) for n, p in own["places"].items()}, aliases={k: tuple(v) for k, v in own["aliases"].items()})
+        out = cls(spark, vocabulary, config or Config(**own["config"]))
+        constraints = {int(k): v for k, v in own["constraints"].items()}
+        for row in rows[1:]:
+            text = row["text"]
+            if row["id"] in constraints:
+                out.register_constraint(*constraints.pop(row["id"]))
+                out.log[-1] = replace(out.log[-1], retracted=row["retracted"])
+                continue
+            if text.startswith(_FACT):
+                relation, cells, flavor = json.loads(text[len(_FACT) :])
+                content = Content(facts=[Atom(relation, tuple(map(Const, cells)), flavor)])
+            else:
+                claim = parser.parse_one(text)
+                content = Compiler(str(row["id"]), render.claim(claim)).statement(out._lowered(claim))
+                if out.config.existential_import:
+                    content.facts += out._imports(claim, content)
+            out.log.append(Statement(row["id"], text, content, row["retracted"]))
+        out.derived_only, out.admitted = set(own["derived_only"]), None if own["admitted"] is None else set(own["admitted"])
+        out.sorts, out.entity_sorts, out.settings = [tuple(x) for x in own["sorts"]], own["entity_sorts"], own["settings"]
+        out.place_sorts = {k: tuple(v) for k, v in own["place_sorts"].items()}
         return out
 
     def dump(self, path: str) -> None:
-        """The live statements as text lines."""
-        self.spark.createDataFrame([(s.text,) for s in self.live()] or [], "value string").coalesce(1).write.mode("overwrite").text(path)
+        """The live statements as text lines, which a script can tell again."""
+        self.spark.createDataFrame([(_written(s.text),) for s in self.live() if s.id not in self.registered] or [], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     def run_script(self, text: str) -> list[dict]:
-        """Lines of a script: statements, ``? question``, ``?? find``, ``:retract n``; # starts a comment. One report row each."""
+        """A script: statements, over one or several lines; ``? question``, ``?? find``, ``:command`` on a line. One report row each.
+
+        Commands: retract n, facts, rules, stratify, debug question, assume statement ; question, aggregate op $v find, proof question, reset, save path.
+        """
         out = []
-        for number, line in enumerate(text.splitlines(), 1):
-            line = line.strip()
-            if not line or line.startswith("#"):
-                continue
+        for number, line in _pieces(text):
             row: dict = {"line": number, "text": line}
             try:
                 if line.startswith("??"):
                     row |= {"kind": "find", "result": [json.loads(x) for x in self.find(line[2:].strip()).toJSON().collect()]}
                 elif line.startswith("?"):
                     row |= {"kind": "query", "result": str(self.holds(line[1:].strip()))}
-                elif line.startswith(":retract"):
-                    self.retract(int(line.split()[1]))
-                    row |= {"kind": "retract", "result": "ok"}
+                elif line.startswith(":"):
+                    word, _, rest = line[1:].partition(" ")
+                    row |= {"kind": word, "result": self._command(word, rest.strip())}
                 else:
                     row |= {"kind": "tell", "result": self.tell(line)}
-            except (RuleError, Incomplete) as e:
+            except (RuleError, Incomplete, aggregates.AggregateError) as e:
                 row |= {"kind": "refused", "result": str(e)}
             out.append(row)
         return out
+
+    def run_file(self, path: str) -> list[dict]:
+        """run_script() of a text file that Spark can read."""
+        return self.run_script("\n".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect()))
+
+    def _command(self, word: str, rest: str):
+        from . import proof  # it builds on this module
+
+        if word == "retract":
+            self.retract(int(rest))
+            return "ok"
+        if word == "facts":
+            return [s.text for s in self.facts()]
+        if word == "rules":
+            return [str(r) for r in self.rules()]
+        if word == "stratify":
+            return self.strata()
+        if word == "debug":
+            return [str(r) for r in self.rules() if any(h.relation in strata.demanded(self.rules(), self._relations(self._question(rest))) for h in r.heads)]
+        if word == "assume":
+            told, _, asked = rest.rpartition(";")
+            return str(self.assuming(told.strip()).holds(asked.strip()))
+        if word == "aggregate":
+            op, variable, asked = rest.split(None, 2)
+            return vars(self.aggregate(asked, variable, op))
+        if word == "proof":
+            return proof.english(proof.explain(self, rest)).splitlines()
+        if word == "reset":
+            self.reset()
+            return "ok"
+        if word == "save":
+            return self.save(rest)
+        raise RuleError(f"unknown command: {word}")
+
+
+def _pieces(text: str):
+    """(line number, piece) of a script: commands and questions end with their line, statements with a full stop at a line's end."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+    text = re.sub(r'"(?:\\["\\]|[^"\\\n])*"|/\*.*?\*/', lambda m: m.group() if m.group()[0] == '"' else blank(m), text, flags=re.DOTALL)
+    held, begun = [], 0
+    for number, line in enumerate(text.splitlines(), 1):
+        line = re.sub(r'("(?:\\["\\]|[^"\\\n])*")|#.*', lambda m: m[1] or "", line).strip()
+        if not line:
+            continue
+        if not held and line[0] in "?:":
+            yield number, line
+            continue
+        begun = begun if held else number
+        held.append(line)
+        if line.endswith("."):
+            yield begun, " ".join(held)
+            held = []
+    if held:
+        yield begun, " ".join(held)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..ir import Atom, Rule, RuleError
 from ..scratch import write_path
 from ..functions.numeric import condition
-from . import bodies, strata
+from . import bodies, demand, strata
 
 Key = tuple[str, str]
 
@@ -48,6 +48,8 @@ class Model:
     rounds: dict[str, int] = field(default_factory=dict)
     views: dict[Key, DataFrame] = field(default_factory=dict)
     test: object = condition
+    #: Where the answers of bound goals are, by relation and bound places.
+    answers: dict[tuple[Key, str], Key] = field(default_factory=dict)
 
     def relation(self, key: Key) -> DataFrame | None:
         """Rows of a relation so far: its facts and what was derived; None if there can be none."""
@@ -71,21 +73,34 @@ class Model:
         return self.spark.read.schema(self.schemas[key]).parquet(*self.paths[key])
 
     def lookup(self, a: Atom) -> DataFrame | None:
-        return self.relation(a.key)
+        """The relation that holds all matches of an atom."""
+        return self.relation(self.answers.get((a.key, demand.pattern(a)), a.key))
 
 
-def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition) -> Model:
+def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition, goals: Iterable[Atom] = ()) -> Model:
     """The model of ``rules`` over ``facts``, restricted to the relations that ``wanted`` depends on.
 
+    Of the relations of ``goals`` only what their constants ask for is derived; ``lookup`` of a goal finds it.
+    Without ``wanted``, goals are all that is wanted; without either, everything is.
+
     Relations that are not recursive stay lazy plans, joined into what reads them; recursive groups are
     iterated. Raises RuleError for a program that is refused, ResourceExceeded past the limits.
     """
     rules = [r.validate() for r in dict((r.identity(), r) for r in rules).values()]
     order = strata.stratify(rules)
-    if wanted is not None:
+    asked, seeds = None, {}
+    if goals := list(goals):
+        asked = demand.bound(rules, goals)
+        direct = {g.relation for g in goals if (g.key, demand.pattern(g)) not in asked.answers}
+        need = strata.demanded(rules, {*(wanted or ()), *direct})
+        rules = list(dict((r.identity(), r) for r in (*asked.rules, *(r for r in rules if any(h.relation in need for h in r.heads)))).values())
+        order = strata.stratify(rules)
+        for key, rows in asked.seeds.items():
+            seeds[key] = spark.createDataFrame(sorted(rows, key=str), [f"x{i}" for i in range(1, len(next(iter(rows))) + 1)])
+    elif wanted is not None:
         need = strata.demanded(rules, wanted)
         rules = [r for r in rules if any(h.relation in need for h in r.heads)]
-    model = Model(spark, dict(facts), rules, limits or Limits(), test=test)
+    model = Model(spark, dict(facts) | seeds, rules, limits or Limits(), test=test, answers=asked.answers if asked else {})
     graph = strata.edges(rules)
     for group in order:
         inside = set(group)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import terms
+
 #: IRIs with a meaning of their own.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 SUBCLASS = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
@@ -53,9 +55,15 @@ def local_name(iri: Column) -> Column:
     return F.lower(F.regexp_extract(iri, r"([^/#]*)[/#]?$", 1))
 
 
+def _number(lexical: Column) -> Column:
+    """The term of a number as it is written."""
+    whole = lexical.rlike(r"^[-+]?\d{1,38}$")
+    return F.when(whole, terms.numbers(lexical.try_cast("decimal(38,0)"), "decimal(38,0)")).otherwise(terms.numbers(lexical.try_cast("double"), "double"))
+
+
 def facts(triples: DataFrame) -> DataFrame:
     """(relation, x1, x2) with tagged terms, from the local names of IRIs."""
-    obj = F.when(F.col("kind") == "iri", F.concat(F.lit("c:"), local_name(F.col("o")))).when(F.col("kind") == "number", F.concat(F.lit("n:"), F.col("o").cast("double").cast("string"))).otherwise(F.concat(F.lit("c:"), F.col("o")))
+    obj = F.when(F.col("kind") == "iri", F.concat(F.lit("c:"), local_name(F.col("o")))).when(F.col("kind") == "number", _number(F.col("o"))).otherwise(F.concat(F.lit("c:"), F.col("o")))
     return triples.select(local_name(F.col("p")).alias("relation"), F.concat(F.lit("c:"), local_name(F.col("s"))).alias("x1"), obj.alias("x2")).distinct()
 
 

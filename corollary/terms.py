@@ -1,13 +1,16 @@
 """Tagged terms of text knowledge bases: one flat string for each place, never null.
 
-Tags: ``c:`` name or quoted string, ``d:`` definite description, ``n:`` number (the shortest decimal
-that reads back as the same double), ``u:`` unspecified, ``a:`` reified proposition, ``k:`` generated
-witness. Two terms are equal if their strings are.
+Tags: ``c:`` name or quoted string, ``d:`` definite description, ``n:`` number, ``u:`` unspecified,
+``a:`` reified proposition, ``k:`` generated witness. Two terms are equal if their strings are.
+
+A number has one spelling, whether it comes from text, from Python or from a table: all digits of a whole
+number, and ".0"; else the shortest decimal that reads back as the same double, with an exponent below 0.001.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,10 +28,32 @@ def text(value: str) -> str:
 
 
 def number(value: float) -> str:
-    value = float(value)
     if not math.isfinite(value):
         raise ValueError(f"{value} is no term")
-    return f"n:{value!r}"
+    if isinstance(value, int) or value.is_integer() and abs(value) < 1 << 63:
+        return f"n:{int(value)}.0"
+    digits, exponent = f"{Decimal(repr(value)):e}".lower().split("e")
+    if 1e-3 <= abs(value) < 1e7:
+        return f"n:{value!r}"
+    whole, _, rest = digits.partition(".")
+    return f"n:{whole}.{rest.rstrip('0') or '0'}E{int(exponent)}"
+
+
+def numbers(c: Column, kind: str) -> Column:
+    """The terms of a numeric column of a table: number() for columns. Whole numbers never pass through a double.
+
+    Decimals with more than 15 digits and a fraction are read as doubles. NaN and infinities are terms that no comparison decides.
+    """
+    whole = lambda x: F.concat(F.lit("n:"), x.cast("string"), F.lit(".0"))
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.endswith(",0)"):
+        return whole(c)
+    real = c.cast("double")
+    fits = (F.abs(real) < F.lit(float(1 << 63))) & (real == F.floor(real))
+    if kind.startswith("decimal"):
+        return F.when(c == F.floor(c), whole(F.floor(c))).otherwise(F.concat(F.lit("n:"), real.cast("string")))
+    if kind == "float":  # its own digits, not those of the double of the same value
+        real = c.cast("string").cast("double")
+    return F.when(fits, whole(real.cast("bigint"))).otherwise(F.concat(F.lit("n:"), real.cast("string")))
 
 
 def description(predicate: str) -> str:
@@ -44,7 +69,10 @@ def encode(value: object) -> str:
 
 def decode(term: str) -> object:
     tag, body = term[:2], term[2:]
-    return float(body) if tag == "n:" else None if tag == "u:" else f"the {body}" if tag == "d:" else body if tag == "c:" else term
+    if tag == "n:":
+        whole = body.endswith(".0") and len(body) > 17  # beyond what a double holds
+        return int(body[:-2]) if whole else float(body)
+    return None if tag == "u:" else f"the {body}" if tag == "d:" else body if tag == "c:" else term
 
 
 def as_number(c: Column) -> Column:

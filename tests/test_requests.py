@@ -13,7 +13,7 @@ def test_batch_requests_do_not_come_from_the_answer(spark):
     allowed = catalog.QUERIES["auth_can_requests"](spark, folder)
     assert asked.select("resource").distinct().count() == spark.read.parquet(f"{folder}/orders.parquet").count()
     assert asked.select("who").distinct().count() == spark.read.parquet(f"{folder}/customer.parquet").count()
-    for action in ("read", "write", "ship"):
+    for action in ("read", "update", "ship"):
         of = lambda df: df.where(F.col("action") == action).count()  # noqa: B023, E731
         assert 0 < of(allowed) < of(asked)
     whole = auth.Authorizer(spark, catalog._whole_authorization(spark, folder)).authorized().toDF("who", "action", "resource")
