@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import json
+import math
 import re
 from dataclasses import dataclass, replace
 
@@ -21,12 +22,13 @@ from .functions import numeric
 from .functions.external import Registry
 from .ir import COMPARISONS, Atom, Check, Const, Not, Rule, RuleError, Var
 from .language import ast, parser, render
-from .language.compile import Compiler, Content
+from .language.compile import MAX_CLAUSES, Compiler, Content
 from .language.formula import And, Count, Every, Leaf, Neg, Or, Some, free, simple
 from .language.lower import Lowering
 from .operators import aggregates, constraints, equality
 from .operators.constraints import Constraint
 from .plans import bodies, demand, fixpoint, strata
+from .sources import rdf
 from .sources.tables import relation
 from .verdict import Verdict
 from .vocab import Predicate, Vocabulary
@@ -179,6 +181,22 @@ class KB:
         self._model = None
         return self
 
+    def bind_triples(self, triples: DataFrame) -> KB:
+        """RDF triples (see sources.rdf) as relations: a binary one for each property, a unary one for each class, a rule for each subclass.
+
+        The names of properties and classes come to the driver: they are the vocabulary, not the data.
+        """
+        low, typed, found = rdf.owl(triples)
+        for r in [x["relation"] for x in found.select("relation").distinct().orderBy("relation").collect()]:
+            self.bind(r, found.where(F.col("relation") == r), "x1", "x2", encode=False)
+        for c in [x["sort"] for x in typed.select("sort").distinct().orderBy("sort").collect()]:
+            self.bind(c, typed.where(F.col("sort") == c), "entity")
+        pairs = [(r["low"], r["high"]) for r in low.orderBy("low", "high").collect()]
+        self.sorts += pairs
+        for below, above in pairs:
+            self.tell(f"all $x: {below}($x) -> {above}($x).")
+        return self
+
     def _declaration(self, claim) -> bool:
         if not isinstance(claim, ast.Pred) or claim.units not in (("derived_only",), ("admits",)):
             return False
@@ -463,6 +481,11 @@ class KB:
             inner = simple(Neg(Some(f.var, And((Leaf(Atom("_domain", (Var(f.var),))), Neg(f.part))))))
             return self.rows(inner, model)
         parts = f.parts if isinstance(f, And) else (f,)
+        choice = next((p for p in parts if isinstance(p, Or)), None)
+        if choice is not None and math.prod(len(p.parts) for p in parts if isinstance(p, Or)) <= MAX_CLAUSES and any(isinstance(p, Leaf) and isinstance(p.item, Atom) for p in parts):
+            # each case with the rest: what binds the rest binds the case, too
+            rest = tuple(p for p in parts if p is not choice)
+            return self.rows(simple(Or(tuple(And((*rest, p)) for p in choice.parts))), model)
         flat = [p.item for p in parts if isinstance(p, Leaf)]
         flat += [Not(p.part.item) for p in parts if isinstance(p, Neg) and isinstance(p.part, Leaf) and isinstance(p.part.item, Atom)]
         checks = [x for x in flat if isinstance(x, Check)] + [Check(p.part.item.op, p.part.item.args, not p.part.item.negated) for p in parts if isinstance(p, Neg) and isinstance(p.part, Leaf) and isinstance(p.part.item, Check)]

@@ -105,15 +105,15 @@ def test_invented_terms(spark):
 
 def test_numbers(spark):
     inf, nan = float("inf"), float("nan")
-    cases = [("sum", 0.3, 0.1, 0.2), ("sum", 1.0, 1.0, 1.0), ("product", 6.0, 2.0, 3.0), ("quotient", 3.0, 6.0, 0.0), ("quotient", 3.0, 6.0, 2.0), ("product", 1.0, 1e308, 1e308), ("sum", inf, 1.0, 2.0), ("quotient", nan, 1.0, 0.0)]
+    cases = [("sum", 1.1, 0.4, 0.7), ("sum", 9.0, 4.0, 4.0), ("product", 35.0, 5.0, 7.0), ("quotient", 8.0, 5.0, 0.0), ("quotient", 2.5, 20.0, 8.0), ("product", 1.0, 1e308, 1e308), ("sum", inf, 1.0, 2.0), ("quotient", nan, 1.0, 0.0)]
     want = [True, False, True, False, True, None, None, None]
     assert [numeric.decide(op, list(v)) for op, *v in cases] == want
     from pyspark.sql import functions as F
 
     for (op, *v), w in zip(cases, want):
         assert spark.range(1).select(numeric.computed(op, *map(F.lit, v))).first()[0] == w
-    assert numeric.decide("greater", [3, 2]) is True and numeric.decide("num_equal", [3, 2]) is False and numeric.decide("less", [nan, 2.0]) is None
-    assert numeric.decide("exponential", [8, 2, 3]) and numeric.decide("logarithm", [3, 8, 2]) and numeric.decide("logarithm", [3, -8, 2]) is None
+    assert numeric.decide("greater", [7, 4]) is True and numeric.decide("num_equal", [7, 4]) is False and numeric.decide("less", [nan, 2.0]) is None
+    assert numeric.decide("exponential", [243, 3, 5]) and numeric.decide("logarithm", [4, 81, 3]) and numeric.decide("logarithm", [4, -81, 3]) is None
     with pytest.raises(TypeError):
         numeric.decide("greater", ["a", 2])
 
