@@ -27,6 +27,8 @@ BLANK = 0x20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 #: Bound: training documents for each language.
 MAX_TRAIN = 3000
+#: Labels whose counts are broadcast; more are joined in a shuffle.
+BROADCAST_LABELS = 10_000
 #: Languages that share a table.
 GROUP = 8
 SEGMENT = 1 << 20
@@ -61,8 +63,9 @@ def sample(rows: DataFrame, label: str, most: int, seed: str, *more: str) -> Dat
     The bound does not move with the size of the table. Rows that agree in these columns go together.
     """
     counts = rows.groupBy(F.col(label).alias("counted_label")).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("counted_share"))
+    few = counts.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", *more), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(counts, F.col(label) == F.col("counted_label")).where(draw < F.col("counted_share")).drop("counted_label", "counted_share")
+    return rows.join(F.broadcast(counts) if few else counts, F.col(label) == F.col("counted_label")).where(draw < F.col("counted_share")).drop("counted_label", "counted_share")
 
 
 class Lookup:
