@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,15 @@ from .bytescan import column_bytes
 PIECE = 2 << 20
 
 
+def release() -> None:
+    """Give back to the system what this process has freed: a worker is kept for later tasks, its peak should not be."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most about ``limit`` bytes in ``column``, one row at least."""
     if not batch.num_rows:
@@ -37,6 +47,7 @@ def map_text(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = each(piece)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -51,5 +62,6 @@ def filter_text(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], col
                 out = piece.filter(pa.array(keep(piece), pa.bool_()))
                 if out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -7,6 +7,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import write_once
+from .arrowmap import release
 
 __all__ = ["settle", "table", "write_once"]
 
@@ -18,4 +19,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
     gc.collect()
+    release()
     spark.sparkContext._jvm.System.gc()

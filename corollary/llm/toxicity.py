@@ -7,6 +7,8 @@ insult in a long text weighs as much as in a short one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,17 +17,19 @@ from pyspark.sql import functions as F
 from .arrowmap import filter_text, map_text
 from .bytescan import LETTERS_DIGITS, column_bytes, words
 from .language_id import sample
+from .scratch import settle, write_once
 
 PLACES = 1 << 20
 HEADS = (4, 5, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-#: Bounds: training documents of each class, and terms that the model holds for their own sake (README has held-out figures).
+#: Bound: training documents of each class.
 MAX_TRAIN = 6000
-MAX_TERMS = 2048
-#: Chi-square from which a term is held, and from which a pair of terms is; pairs are sought among the most frequent terms.
-CHI, PAIR_CHI, PAIRED = 11, 40, 2048
+#: Terms, and pairs of terms, are held if chance would let any of those tested look as telling with this probability at the most.
+CHANCE = 0.05
+#: A term is tested if it is in so many training documents; pairs are sought among so many of the most frequent terms.
+LEAST, PAIRED = 3, 2048
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 30
 THRESHOLD = 0.7
 
 
@@ -67,46 +71,65 @@ def _chi(with1: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
     """Chi-square of presence against the label, for presence in ``with1`` documents of label 1 of ``seen`` in all."""
     expected = seen * share
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where(seen >= 3, (with1 - expected) ** 2 / expected + (with1 - expected) ** 2 / (seen - expected), 0.0)
+        chi = np.where(seen >= LEAST, (with1 - expected) ** 2 / expected + (with1 - expected) ** 2 / (seen - expected), 0.0)
     return np.nan_to_num(chi, posinf=0.0)
 
 
+def _cut(tests: int) -> float:
+    """The chi-square that chance exceeds with probability CHANCE in any of so many tests."""
+    low, high, p = 0.0, 1000.0, CHANCE / max(1, tests)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > p else (low, mid)
+    return high
+
+
+def _often(seen: np.ndarray) -> np.ndarray:
+    """The most frequent terms, among which pairs are sought."""
+    return np.argsort(-seen, kind="stable")[: min(PAIRED, int((seen >= LEAST).sum()))]
+
+
 def _telling_pairs(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, seen: np.ndarray, chi: np.ndarray) -> np.ndarray:
     """Terms of the pairs whose joint presence tells of the label at least twice as much as either term alone."""
-    often = np.argsort(-seen, kind="stable")[: min(PAIRED, int((seen >= 3).sum()))]
-    place = np.full(PLACES, -1, np.int64)
+    often = _often(seen)
+    cut = _cut(len(often) * (len(often) - 1) // 2)
+    place = np.full(len(seen), -1, np.int32)
     place[often] = np.arange(len(often))
-    both = np.zeros((2, len(often), len(often)), np.float32)
-    for lo in range(0, len(labels), 1024):
-        a, b = np.searchsorted(doc, (lo, lo + 1024))
-        at = place[term[a:b]]
-        block = np.zeros((min(1024, len(labels) - lo), len(often)), np.float32)
-        block[doc[a:b][at >= 0] - lo, at[at >= 0]] = 1
-        for label in (0, 1):
-            part = block[labels[lo : lo + 1024] == label]
-            both[label] += part.T @ part
     single, found = chi[often], np.zeros(len(often), bool)
-    for lo in range(0, len(often), 256):
-        with1 = both[1, lo : lo + 256].astype(float)
-        joint = _chi(with1, with1 + both[0, lo : lo + 256], labels.mean())
-        tell = (joint > PAIR_CHI) & (joint > 2 * np.maximum(single[lo : lo + 256, None], single[None]))
-        found[lo : lo + 256] |= tell.any(1)
+    for first in range(0, len(often), 256):  # some rows of the table of pairs at once
+        both = np.zeros((2, min(256, len(often) - first), len(often)), np.float32)
+        for lo in range(0, len(labels), 1024):
+            a, b = np.searchsorted(doc, (lo, lo + 1024))
+            at = place[term[a:b]]
+            block = np.zeros((min(1024, len(labels) - lo), len(often)), np.float32)
+            block[doc[a:b][at >= 0] - lo, at[at >= 0]] = 1
+            for label in (0, 1):
+                part = block[labels[lo : lo + 1024] == label]
+                both[label] += part[:, first : first + 256].T @ part
+        with1 = both[1].astype(float)
+        joint = _chi(with1, with1 + both[0], labels.mean())
+        found[first : first + 256] = ((joint > cut) & (joint > 2 * np.maximum(single[first : first + 256, None], single[None]))).any(1)
     return often[found]
 
 
-def fit(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, seed: int = 7) -> Machine:
+def fit(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, seed: int = 7, tested: int | None = None) -> Machine:
     """Choose terms by the chi-square of presence against label, alone and in pairs, then fit by AdaGrad on the log loss.
 
-    Classes weigh the same in sum. ``doc`` and ``term`` are distinct pairs.
+    Classes weigh the same in sum. ``doc`` and ``term`` are distinct pairs; ``tested`` is the number of
+    terms tested, where the pairs of some that cannot be chosen were left out.
     """
     rng = np.random.default_rng(seed)
     n, n1 = len(labels), int(labels.sum())
-    with1 = np.bincount(term[labels[doc] == 1], minlength=PLACES).astype(float)
-    with0 = np.bincount(term[labels[doc] == 0], minlength=PLACES).astype(float)
-    seen = with1 + with0
+    doc, names = doc.astype(np.int32), np.flatnonzero(np.bincount(term, minlength=PLACES))
+    index = np.zeros(PLACES, np.int32)
+    index[names] = np.arange(len(names))
+    term = index[term]
+    seen = np.bincount(term, minlength=len(names)).astype(float)
+    with1 = np.bincount(term[labels[doc] == 1], minlength=len(names)).astype(float)
     chi = _chi(with1, seen, n1 / max(1, n))
-    chosen = np.flatnonzero(chi > CHI)
-    chosen = np.union1d(chosen[np.argsort(-chi[chosen], kind="stable")[:MAX_TERMS]], _telling_pairs(labels, doc, term, seen, chi))
+    telling = np.flatnonzero(chi > _cut(int((seen >= LEAST).sum()) if tested is None else tested))
+    chosen = names[np.union1d(telling, _telling_pairs(labels, doc, term, seen, chi))]
+    term = names.astype(np.int32)[term]
     slot = np.full(PLACES, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     w0, w, v = 0.0, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
@@ -147,8 +170,8 @@ def fit(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, seed: int = 7) ->
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     """Fit on at most about ``most`` labelled, not held-out rows of each class.
 
-    The sample's ids are broadcast (their number is bounded by ``most``); hashed terms of the sample
-    come to the driver, which is bounded alike.
+    The sample's ids are broadcast (their number is bounded by ``most``). Its hashed terms are counted where
+    they are; only those of terms that can be chosen come to the driver, which ``most`` bounds as well.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = sample(known.where(~held_out(F.col("doc_id"))), "toxic", most, "fm")
@@ -161,13 +184,36 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
         found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(term.astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], ["doc_id", "toxic", "terms"])
 
-    got = map_text(rows, each, "doc_id long, toxic int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    listed = write_once(map_text(rows, each, "doc_id long, toxic int, terms array<int>"), "terms")
+    one = F.col("toxic") >= 1
+    n, n1 = listed.agg(F.count(F.lit(1)), F.count(F.when(one, 1))).first()
+    counts = listed.select(one.cast("int").alias("toxic"), F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("with1"))
+    counts = counts.where(F.col("seen") >= LEAST).toArrow().sort_by("term")  # PLACES rows at the most
+    place, seen, with1 = (counts.column(c).to_numpy() for c in ("term", "seen", "with1"))
+    keep, tested = np.zeros(PLACES, bool), len(place)
+    keep[place[_chi(with1, seen, n1 / max(1, n)) > _cut(tested)]] = True
+    keep[place[_often(seen)]] = True
+    del counts, place, seen, with1
+    settle(docs.sparkSession)
+
+    def kept(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            term = lists.flatten().to_numpy()
+            inside = keep[term]
+            edge = np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            found = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(term[inside]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], ["doc_id", "toxic", "terms"])
+
+    got = listed.mapInArrow(kept, "doc_id long, toxic int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("terms").combine_chunks()
     label = np.clip(got.column("toxic").to_numpy().astype(np.int64), 0, 1)
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     size = np.array(lists.value_lengths().fill_null(0), np.int64)
-    return fit(label, np.repeat(np.arange(len(label)), size), np.asarray(lists.flatten()).astype(np.int64))
+    doc, term = np.repeat(np.arange(len(label), dtype=np.int32), size), np.asarray(lists.flatten())
+    del got, lists
+    return fit(label, doc, term, tested=tested)
 
 
 def probability(batch: pa.RecordBatch, model: Machine) -> np.ndarray:
