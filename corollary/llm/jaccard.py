@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .arrowmap import PIECE, map_text, pieces
+from .arrowmap import PIECE, map_text, pieces, release
 from .bytescan import column_bytes, mix, shingle_sets
 from .components import components
 from .scratch import settle, write_once
@@ -52,13 +52,13 @@ SALT = 2000
 #: Nodes in a list from which it is collapsed by leaders, and leaders for each.
 LARGE, LEADERS = 8, 3
 #: Postings of the lists of one leader that are dealt together; more are spread over several cells.
-SPREAD = 8000
+SPREAD = 1500
 #: Nodes of a list in one block: a longer list is dealt as pairs of blocks.
-BLOCK = 4000
+BLOCK = 1000
 #: Nodes in a list from which its likeliest links are verified first.
 CROWD = 4
 #: Bits of a set's bitmap for each token, and words of bitmaps that are compared at once.
-BITS, AT_ONCE = 4, 1 << 21
+BITS, AT_ONCE = 4, 1 << 19
 #: Tokens (in all documents) for which there is one bucket of postings.
 BUCKET = 4_000_000
 #: Ids of documents to verify that are broadcast; more are joined in a shuffle.
@@ -244,6 +244,7 @@ def _lists(batches):
         out = _shared(held)
         if out is not None:
             yield out
+    release()
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -302,7 +303,7 @@ def _enough(counted: DataFrame) -> DataFrame:
 
 COUNTED = "u long, v long, shared long, n long, m long, rest long, left long"
 CELL = "cell long, token long, node long, n long, rest long, root long, side int, bits binary"
-HELD, CODES = 200_000, 4_000_000
+HELD, CODES = 50_000, 2_000_000
 
 
 class Bitmaps:
@@ -459,6 +460,7 @@ def _pair_lists(batches, forest: bool = False):
             last = (cell[-1], token[-1], lists[-1])
     if held:
         yield from _count_pairs(pa.Table.from_batches(held), bits, forest)
+    release()
 
 
 def _rooted(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -518,6 +520,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 out = _postings(piece, order.value, buckets, known)
                 if out is not None:
                     yield out
+        release()
 
     packed = rows.mapInArrow(emit, "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     lists = write_once(packed.mapInArrow(_lists, "token long, sa long, sb long, n long, rest long"), "postings")
@@ -539,8 +542,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     settle(spark)
     near = components(found)
     # lists of one leader are dealt together, so that a pair's shared tokens are mostly counted where they meet
-    homes = stats.groupBy(F.col("leader0.node").alias("home")).agg(F.ceil(F.sum("size") / SPREAD).alias("cells"), F.ceil(F.max("size") / BLOCK).alias("blocks"))
-    lists = stats.select(F.col("token").alias("t"), F.col("leader0.node").alias("home"), "size").join(homes, "home")
+    homes = stats.groupBy(F.col("leader0.node").alias("home")).agg(F.ceil(F.sum("size") / SPREAD).alias("cells"))
+    lists = stats.select(F.col("token").alias("t"), F.col("leader0.node").alias("home"), "size", F.ceil(F.col("size") / BLOCK).alias("blocks")).join(homes, "home")
     spread = F.pmod(F.xxhash64("token"), F.col("cells"))
     at = posted.join(lists, F.col("token") == F.col("t")).select("home", spread.alias("spread"), "blocks", "size", "token", "node", "n", "rest")
     mixed = _mixed(write_once(_rooted(at, near), "lists")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
