@@ -49,6 +49,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeat groups that operator 9 can list, with all their places."""
+    return suffix_dedup.maximal_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.quality_from_labels(table(spark, sf_dir, "labels")))
 
@@ -57,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_language_id, op3_toxicity, op4_secret_scans, op5_benchmark_decontamination, benchmark_proximity,
-        op6_exact_dedup, op7_line_dedup, op8_chat_formatting, op9_suffix_array_dedup, op10_source_mixing,
+        op6_exact_dedup, op7_line_dedup, op8_chat_formatting, op9_suffix_array_dedup, maximal_repeats, op10_source_mixing,
     )
 }
 
