@@ -22,8 +22,8 @@ from .bytescan import LETTERS_DIGITS, column_bytes, words
 from .scratch import write_once
 
 MATCHES = "doc_id long, item_id string, start long, kind string"
-#: Bytes of test texts whose windows are broadcast at once; more are searched for block by block.
-BROADCAST_LIMIT = 32 << 20
+#: Bytes of test texts whose windows are broadcast at once (a window takes about 60 bytes, a word one window); more are searched for block by block.
+BROADCAST_LIMIT = 4 << 20
 #: Windows whose places are compared at once for proximity.
 AT_ONCE = 1 << 15
 #: Key of a row of documents while blocks are searched for.
@@ -42,25 +42,30 @@ class Windows:
         self.terms, ids = np.unique(hashed, return_inverse=True)
         self.names = [str(key) for key, _ in items]
         first = np.searchsorted(self.begins, offsets)
-        found: dict[tuple, list[int]] = {}
-        where: dict[tuple, int] = {}
-        for item, (lo, hi) in enumerate(zip(first, first[1:])):
-            for at in range(lo, max(lo + 1, hi - size + 1)) if hi > lo else ():
-                key = tuple(ids[at : min(at + size, hi)].tolist())
-                owners = found.setdefault(key, [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-                where.setdefault(key, at)
-        self.length = np.array([len(k) for k in found], np.int64)
-        self.rows = np.full((len(found), size), -1, np.int64)
-        for i, k in enumerate(found):
-            self.rows[i, : len(k)] = k
-        self.owners = list(found.values())
-        self.at = np.array([where[k] for k in found], np.int64)
+        words_of = np.diff(first)
+        count = np.where(words_of > 0, np.maximum(1, words_of - size + 1), 0)
+        item = np.repeat(np.arange(len(items)), count)
+        at = np.repeat(first[:-1], count) + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(words_of[item], size)
+        inside = np.arange(size) < length[:, None]
+        rows = np.where(inside, ids[np.minimum(at[:, None] + np.arange(size), max(0, len(ids) - 1))] if len(ids) else -1, -1).astype(np.int32)
+        whole = np.ascontiguousarray(rows).view(f"V{4 * size}").ravel()
+        order = np.argsort(whole, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+        group = np.cumsum(new) - 1
+        self.rows, self.length, self.at = rows[order[new]], length[order[new]], at[order[new]]
+        pair = np.unique(group.astype(np.int64) * max(1, len(items)) + item[order])
+        self.owner = (pair % max(1, len(items))).astype(np.int32)
+        self.owned = np.searchsorted(pair // max(1, len(items)), np.arange(len(self.rows) + 1))
         self.size = size
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.terms >> np.uint64(48)).astype(np.int64)] = True
 
+    def owners(self, window: int) -> np.ndarray:
+        """Numbers of the items that have a window."""
+        return self.owner[self.owned[window] : self.owned[window + 1]]
+
     def ids(self, hashed: np.ndarray) -> np.ndarray:
         """Term id of each word hash, -1 for words that no test text has."""
         out = np.full(len(hashed), -1, np.int32)
@@ -96,10 +101,13 @@ def shard_matches(w: Windows, tokens: np.ndarray, doc_of: np.ndarray, slop: int,
     fits = inside.copy()
     fits[inside] = doc_of[at[inside]] == doc_of[at[inside] + w.length[window[inside]] - 1]
     win, pos = window[fits], at[fits]
+    posting = tokens[order].astype(np.int64) * (len(tokens) + 1) + order  # all lists as one sorted array
     for step in range(1, w.size):
         offset = rarity[win, step]
         term = w.rows[win, offset]
-        same = (term < 0) | (tokens[np.minimum(pos + offset, len(tokens) - 1)] == term)
+        wanted = term.astype(np.int64) * (len(tokens) + 1) + pos + offset  # the shifted place in the term's list
+        at = np.minimum(np.searchsorted(posting, wanted), len(posting) - 1)
+        same = (term < 0) | (posting[at] == wanted)
         win, pos = win[same], pos[same]
     if not slop:
         return (win, pos), nothing
@@ -289,7 +297,7 @@ def _named(w: Windows, doc_of: np.ndarray, wins: np.ndarray, places: np.ndarray)
     """Names of the items of the matched windows, by row."""
     out: dict[int, set[str]] = {}
     for doc, i in set(zip(doc_of[places].tolist(), wins.tolist())):
-        out.setdefault(doc, set()).update(w.names[k] for k in w.owners[i])
+        out.setdefault(doc, set()).update(w.names[k] for k in w.owners(i))
     return out
 
 
@@ -327,7 +335,7 @@ def _listed(batch: pa.RecordBatch, w: Windows, slop: int, share: float) -> pa.Re
     for wins, starts, places, kind in ((win, pos, pos, "exact"), (near, at, anchor, "near")):
         docs = doc_of[places]
         for doc, i, start in zip(docs.tolist(), wins.tolist(), (starts - first[docs]).tolist()):
-            found.update((doc, w.names[k], start, kind) for k in w.owners[i])
+            found.update((doc, w.names[k], start, kind) for k in w.owners(i))
     doc, item, start, kind = zip(*sorted(found)) if found else ((),) * 4
     ids = batch.column("doc_id").take(pa.array(doc, pa.int64()))
     return pa.RecordBatch.from_arrays([ids, pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(kind, pa.string())], [part.split()[0] for part in MATCHES.split(", ")])
