@@ -23,7 +23,7 @@ from ..sources.tables import Tables
 from ..vocab import Vocabulary
 from .catalog import CLOSURE, query
 
-WORDS = """client(who); order(key); customer(who, nation, segment); nation(key, name); lives(who, in); placed(who, order); priority(order, level); worth(order, amount);
+WORDS = """client(who); order(key); customer(who, nation, segment); nation(key, name); country(key); lives(who, in); placed(who, order); priority(order, level); worth(order, amount);
 part(key); size(part, number); parent(part, above); urgent(order); hasty(who); returned(order); balance(who, amount)"""
 
 
@@ -32,7 +32,7 @@ def base(spark: SparkSession, sf_dir: str, config: Config | None = None) -> KB:
     t = Tables(spark, sf_dir)
     kb = KB(spark, Vocabulary(open=True).declare(WORDS).alias("placed_by", "placed", 2), config)
     kb.bind("client", t.customer, "c_custkey").bind("order", t.orders, "o_orderkey").bind("customer", t.customer, "c_custkey", "c_nationkey", "c_mktsegment")
-    kb.bind("nation", t.nation, "n_nationkey", "n_name").bind("placed", t.orders, "o_custkey", "o_orderkey").bind("priority", t.orders, "o_orderkey", "o_orderpriority")
+    kb.bind("nation", t.nation, "n_nationkey", "n_name").bind("country", t.nation, "n_nationkey").bind("placed", t.orders, "o_custkey", "o_orderkey").bind("priority", t.orders, "o_orderkey", "o_orderpriority")
     kb.bind("lives", t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")), "c_custkey", "n_name")
     kb.bind("worth", t.orders, "o_orderkey", "o_totalprice").bind("balance", t.customer, "c_custkey", "c_acctbal")
     kb.bind("part", t.part, "p_partkey").bind("size", t.part, "p_partkey", "p_size")
@@ -114,7 +114,7 @@ def text_quantified_verdicts(spark, sf_dir):
     kb.bind("poor", Tables(spark, sf_dir).customer.where("c_acctbal < -500"), "c_custkey")
     return verdicts(kb, [
         "hasty(every client)", "worth(some order, $w) & greater($w, 400000)", "all $o, $w: worth($o, $w) -> greater($w, 1000)", "no part $p: size($p, $n) & greater($n, 50)",
-        "size(exactly 7 part, 50)", 'exactly 1 nation $n: nation($n, "NATION_7")', "some client $c: hasty($c)", 'no client $c: customer($c, $n, "BUILDING") & poor($c)',
+        "size(exactly 7 part, 50)", 'exactly 1 country $n: nation($n, "NATION_7")', "some client $c: hasty($c)", 'no client $c: customer($c, $n, "BUILDING") & poor($c)',
     ])
 
 
