@@ -318,9 +318,8 @@ def explain(kb: KB, text: str) -> Trace:
     if len(parts) > 1:
         prover.add(Step("and", text.strip(), tuple(premises)))
     trace.steps = prover.steps
-    said = {t.value for s in kb.live() for a in s.content.facts for t in a.args} if canon else set()
-    if canon and any(v in said and canon[v] != v for v in canon):
-        trace.vocabulary["canon"] = canon
+    if merged := {v: r for v, r in canon.items() if v != r}:
+        trace.vocabulary["canon"] = merged  # what the claim's names stand for, as leaves do for facts
     return trace
 
 
