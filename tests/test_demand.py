@@ -90,3 +90,12 @@ def test_script_files_and_dumps(spark, tmp_path):
     report = KB(spark).run_file(str(tmp_path / "script"))
     assert [(r["line"], r["kind"]) for r in report] == [(1, "tell"), (3, "tell"), (5, "query"), (6, "aggregate"), (7, "refused"), (8, "rules")]
     assert report[2]["result"] == "TRUE" and report[3]["result"] == {"value": None, "witnesses": 0}
+
+
+def test_the_shell(spark, tmp_path, capsys):
+    from corollary.__main__ import main
+
+    (tmp_path / "script").write_text("boat(Alba).\n")
+    main([str(tmp_path / "script")], ["floats(every boat).\n", "? floats(Alba).\n", "?? floats($x).\n", ":rules\n", "p(\n", ":quit\n", "? p(A).\n"])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "tell: [0]" and out[2] == "query: TRUE" and out[3] == "x = c:alba" and "floats" in out[4] and out[5].startswith("refused") and len(out) == 6
