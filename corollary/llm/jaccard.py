@@ -303,6 +303,8 @@ def _enough(counted: DataFrame) -> DataFrame:
 
 COUNTED = "u long, v long, shared long, n long, m long, rest long, left long"
 CELL = "cell long, token long, node long, n long, rest long, root long, side int, bits binary"
+#: What a row's list is to its cell: all of it, a block with itself, or one of two blocks.
+WHOLE, LOWER, UPPER, DIAGONAL = range(4)
 HELD, CODES = 50_000, 2_000_000
 
 
@@ -381,7 +383,8 @@ def _count_pairs(table: pa.Table, bits: dict[int, bytes], forest: bool):
     names, index = np.unique(node, return_inverse=True)
     row_of = np.zeros(len(names), np.int64)
     row_of[index] = np.arange(len(index))
-    elsewhere = (n - rest)[row_of] - np.bincount(index, minlength=len(names))  # prefix tokens in other lists
+    # prefix tokens whose pairs may meet in other cells: those of other lists, and those of lists in blocks
+    elsewhere = (n - rest)[row_of] - np.bincount(index[side == WHOLE], minlength=len(names))
     maps, trees = Bitmaps(bits, names), {}
     codes, waiting, parts = [], 0, 0
 
@@ -406,7 +409,7 @@ def _count_pairs(table: pa.Table, bits: dict[int, bytes], forest: bool):
         at = at[left[at] > step]
         other = after[at] + step
         low, high = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
-        fits = (DEN * low >= NUM * high) & ((side[at] == 0) | (side[at] != side[other]))
+        fits = (DEN * low >= NUM * high) & ((side[at] == WHOLE) | (side[at] == DIAGONAL) | (side[at] != side[other]))
         a, b = index[at[fits]], index[other[fits]]
         if len(a):
             codes.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
@@ -549,7 +552,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = _mixed(write_once(_rooted(at, near), "lists")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     left = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    side = F.when(F.col("blocks") == 1, WHOLE).when(low == high, DIAGONAL).when(F.col("own") == low, LOWER).otherwise(UPPER)
     left = write_once(left.select(F.xxhash64("home", "spread", "blocks", low, high).alias("cell"), "token", "node", "n", "rest", "root", side.alias("side"), "size"), "cells")
     drawn = write_once(_of_nodes(signed.drop("n"), left.select("node").distinct(), classes, "sa", "sb").select("node", "bits").dropDuplicates(["node"]), "drawn")
     likely = _dealt(left.where(F.col("size") >= CROWD), drawn).mapInArrow(_likely_links, COUNTED)

@@ -88,8 +88,11 @@ def some(rng, n, words):
     return " ".join(rng.choice(words) for _ in range(n))
 
 
-def test_a_large_group_of_copies_that_are_mostly_not_similar(spark):
-    """Three hundred edited copies of one text, few of them similar enough: the components are those of all pairs."""
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 20}, {"BLOCK": 20, "SPREAD": 60, "CROWD": 2, "BROADCAST_IDS": 0, "BUCKET": 500}])
+def test_a_large_group_of_copies_that_are_mostly_not_similar(spark, monkeypatch, bounds):
+    """Three hundred edited copies of one text, few of them similar enough: the components are those of all pairs, wherever lists are cut."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(12)
     base, rows = [f"w{k}" for k in range(60)], []
     for i in range(300):
