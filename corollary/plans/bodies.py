@@ -17,6 +17,10 @@ from ..ir import Atom, Check, Const, Literal, Not, Rule, RuleError, Term, Var
 
 _fresh = itertools.count()
 
+#: Rows of one value that meet in one task, where a value may have many rows on both sides of a join; pairs for each task.
+BLOCK = 1000
+PAIRS = 20_000_000
+
 Lookup = Callable[[Atom], DataFrame | None]
 
 
@@ -58,19 +62,109 @@ def ordered(atoms: list[Atom], first: int | None = None) -> list[Atom]:
     return out
 
 
-def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None = None, lead_rows: DataFrame | None = None, test=condition) -> tuple[DataFrame, dict[str, str]] | None:
+def closed(known: set[str], atoms: list[Atom], keys: dict) -> set[str]:
+    """The variables that have one value once ``known`` have theirs, by the keys of the atoms' relations."""
+    known = set(known)
+    while True:
+        more = {v for a in atoms if all(isinstance(a.args[i - 1], Const) or a.args[i - 1].name in known for i in keys[a.key]) for v in a.variables()}
+        if more <= known:
+            return known
+        known |= more
+
+
+def clusters(atoms: list[Atom], keys: dict) -> list[list[Atom]]:
+    """Atoms in groups: inside a group each join finds one row at the most for each row of one side, so none multiplies rows."""
+    groups = [[a] for a in atoms]
+    variables = lambda g: set().union(*(a.variables() for a in g))
+    while True:
+        for g, h in itertools.combinations(groups, 2):
+            shared = variables(g) & variables(h)
+            if shared and any(variables(x) <= closed(shared, x, keys) for x in (g, h)):
+                groups = [x for x in groups if x is not g and x is not h] + [g + h]
+                break
+        else:
+            return groups
+
+
+def dealt(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """The equi-join of sides that may both have many rows of one value: its rows meet as pairs of blocks of BLOCK rows.
+
+    A task holds one block at a time, and takes PAIRS pairs or so. Counting the rows of each value is a job of its own.
+    """
+    mark = f"d{next(_fresh)}"
+    count = lambda rows, columns, n: rows.groupBy(*(F.col(c).alias(f"{n}_{i}") for i, c in enumerate(columns))).agg(F.count(F.lit(1)).alias(n))
+    lefts, rights = [l for l, _ in on], [r for _, r in on]
+    a, b = count(left, lefts, f"{mark}a"), count(right, rights, f"{mark}b")
+    same = F.lit(True)
+    for i in range(len(on)):
+        same &= F.col(f"{mark}a_{i}") == F.col(f"{mark}b_{i}")
+    met = a.join(b, same)
+    pairs = met.agg(F.sum(F.col(f"{mark}a").cast("double") * F.col(f"{mark}b"))).first()[0] or 0
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = met.select(*(F.col(f"{mark}a_{i}").alias(f"{mark}v_{i}") for i in range(len(on))), blocks(f"{mark}a").alias(f"{mark}m"), blocks(f"{mark}b").alias(f"{mark}n"))
+    number = int(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS)))
+
+    def blocked(rows: DataFrame, columns: list[str], own: str, other: str, side: str) -> DataFrame:
+        known = F.lit(True)
+        for i, c in enumerate(columns):
+            known &= F.col(c) == F.col(f"{mark}v_{i}")
+        cells = {own: F.pmod(F.xxhash64(*rows.columns), F.col(f"{mark}{own}")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(f"{mark}{other}") - 1))}
+        out = rows.join(sizes, known).select(*rows.columns, *(cells[x].alias(f"{side}{x}") for x in (own, other)))
+        return out.repartition(number, *columns, f"{side}m", f"{side}n")
+
+    left = blocked(left, lefts, "m", "n", f"{mark}l")
+    right = blocked(right, rights, "n", "m", f"{mark}r")
+    test = F.lit(True)
+    for l, r in [*on, (f"{mark}lm", f"{mark}rm"), (f"{mark}ln", f"{mark}rn")]:
+        test &= F.col(l) == F.col(r)
+    return left.join(right.hint("merge"), test).drop(*(f"{mark}{s}{x}" for s in "lr" for x in "mn"), *rights)
+
+
+def _multiplied(groups: list[list[Atom]], checks: list[Check], lookup: Lookup, test) -> tuple[DataFrame, dict[str, str]] | None:
+    """Bindings of groups of atoms, each joined by itself first, then with one another in blocks."""
+    rows, names = None, {}
+    for group in groups:
+        inside = [c for c in checks if c.variables() <= set().union(*(a.variables() for a in group))]
+        got = conjunction((*group, *inside), lookup, test=test)
+        if got is None:
+            return None
+        part, own = got
+        if rows is None:
+            rows, names = part, own
+        else:
+            shared = [v for v in own if v in names]
+            rows = dealt(rows, part, [(names[v], own[v]) for v in shared]) if shared else rows.crossJoin(part)
+            names = names | {v: c for v, c in own.items() if v not in names}
+        checks = [c for c in checks if c not in inside]
+        for c in [c for c in checks if c.variables() <= set(names)]:
+            rows = rows.where(test(c, names))
+            checks.remove(c)
+    if checks:
+        raise RuleError(f"unbound variables in {checks[0]}")
+    return rows, names
+
+
+def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None = None, lead_rows: DataFrame | None = None, test=condition, keys: dict | None = None) -> tuple[DataFrame, dict[str, str]] | None:
     """(bindings, variable -> column) of a conjunction; None where a relation that it needs is empty.
 
     ``lead`` is the positive atom (by number) that reads ``lead_rows`` in place of its relation: the
     delta of a semi-naive round. Shared variables make equi-joins, none a cross join; conditions are
     applied as soon as their variables are bound; negated atoms last, as anti joins on the variables
-    that they share with the rest.
+    that they share with the rest. ``keys`` names places that are a key of a relation, which is a set then:
+    joins that multiply rows come last, and in blocks.
     """
     atoms = [x for x in literals if isinstance(x, Atom)]
     checks = [x for x in literals if isinstance(x, Check)]
     rows: DataFrame | None = None
     names: dict[str, str] = {}
     numbered = {id(a): i for i, a in enumerate(atoms)}
+    groups = clusters(atoms, keys) if keys and lead is None and all(a.key in keys for a in atoms) else []
+    if len(groups) > 1:
+        got = _multiplied(groups, checks, lookup, test)
+        if got is None:
+            return None
+        rows, names = got
+        atoms, checks = [], []
     for a in ordered(atoms, lead) if atoms else []:
         source = lead_rows if numbered[id(a)] == lead and lead_rows is not None else lookup(a)
         if source is None:

@@ -50,6 +50,8 @@ class Model:
     test: object = condition
     #: Where the answers of bound goals are, by relation and bound places.
     answers: dict[tuple[Key, str], Key] = field(default_factory=dict)
+    #: Places that are a key of a relation, known from the data.
+    keys: dict[Key, tuple[int, ...]] = field(default_factory=dict)
 
     def relation(self, key: Key) -> DataFrame | None:
         """Rows of a relation so far: its facts and what was derived; None if there can be none."""
@@ -66,6 +68,11 @@ class Model:
             out = out.unionByName(p)
         return out
 
+    def distinct(self, key: Key) -> DataFrame | None:
+        """The relation as a set; what was derived alone is one already."""
+        rows = self.relation(key)
+        return rows.distinct() if rows is not None and key in self.facts else rows
+
     def derived(self, key: Key) -> DataFrame | None:
         """Derived rows with the round that made them."""
         if not self.paths.get(key):
@@ -77,12 +84,14 @@ class Model:
         return self.relation(self.answers.get((a.key, demand.pattern(a)), a.key))
 
 
-def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition, goals: Iterable[Atom] = ()) -> Model:
+def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition, goals: Iterable[Atom] = (), keys: dict[Key, tuple[int, ...]] | None = None) -> Model:
     """The model of ``rules`` over ``facts``, restricted to the relations that ``wanted`` depends on.
 
     Of the relations of ``goals`` only what their constants ask for is derived; ``lookup`` of a goal finds it.
     Without ``wanted``, goals are all that is wanted; without either, everything is.
 
+    ``keys`` are places of facts that are known to be a key of their relation.
+
     Relations that are not recursive stay lazy plans, joined into what reads them; recursive groups are
     iterated. Raises RuleError for a program that is refused, ResourceExceeded past the limits.
     """
@@ -100,7 +109,7 @@ def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFr
     elif wanted is not None:
         need = strata.demanded(rules, wanted)
         rules = [r for r in rules if any(h.relation in need for h in r.heads)]
-    model = Model(spark, dict(facts) | seeds, rules, limits or Limits(), test=test, answers=asked.answers if asked else {})
+    model = Model(spark, dict(facts) | seeds, rules, limits or Limits(), test=test, answers=asked.answers if asked else {}, keys=keys or {})
     graph = strata.edges(rules)
     for group in order:
         inside = set(group)
@@ -118,7 +127,7 @@ def _plain(model: Model, rules: list[Rule], inside: set[str]) -> None:
     """A relation that does not depend on itself: the union of its rules' plans."""
     made: dict[Key, list[DataFrame]] = {}
     for r in rules:
-        got = bodies.conjunction(r.body, model.lookup, test=model.test)
+        got = bodies.conjunction(r.body, model.lookup, test=model.test, keys=model.keys)
         if got is not None:
             for key, rows in bodies.heads(r, *got).items():
                 if key[0] in inside:
@@ -127,7 +136,16 @@ def _plain(model: Model, rules: list[Rule], inside: set[str]) -> None:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        model.views[key] = rows.distinct()
+        own = [(r, h) for r in rules for h in r.heads if h.key == key]
+        model.views[key] = rows if len(own) == 1 and _once(model, *own[0]) else rows.distinct()
+
+
+def _once(model: Model, r: Rule, head: Atom) -> bool:
+    """Whether a rule concludes each row once: its head's variables settle all others by the keys of the relations that it reads."""
+    atoms = r.positive()
+    if r.invents or not all(a.key in model.keys for a in atoms):
+        return False
+    return set().union(*(a.variables() for a in atoms)) <= bodies.closed(head.variables(), atoms, model.keys)
 
 
 def _new_rows(model: Model, made: dict[Key, list[DataFrame]], number: int) -> dict[Key, str]:
@@ -218,7 +236,7 @@ def resume(model: Model, key: Key, rows: DataFrame) -> Model:
     added = model.spark.read.parquet(path)
     facts = dict(model.facts)
     facts[key] = facts[key].unionByName(added.drop("round")) if key in facts else added.drop("round")
-    new = Model(model.spark, facts, model.rules, model.limits, {k: list(v) for k, v in model.paths.items()}, dict(model.schemas), dict(model.rounds), test=model.test)
+    new = Model(model.spark, facts, model.rules, model.limits, {k: list(v) for k, v in model.paths.items()}, dict(model.schemas), dict(model.rounds), test=model.test, keys={k: v for k, v in model.keys.items() if k != key})
     new.schemas[key] = added.schema
     for group in strata.stratify(model.rules):
         inside = set(group)

@@ -2,7 +2,10 @@
 
 import os
 
-from corollary.plans import questions
+import pytest
+
+from corollary.ir import atom, check, rule
+from corollary.plans import bodies, catalog, fixpoint, questions
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,3 +30,32 @@ def rows(df):
 def test_forged_proofs_where_an_order_has_the_number_1000001(spark, tmp_path):
     folder = like(spark, tmp_path, part={"p_partkey": 1000001}, lineitem={"l_orderkey": 1000001, "l_returnflag": "R"})
     assert rows(questions.forged_proofs(spark, folder)) == rows(questions.forged_proofs(spark, FOLDER))
+
+
+SAME = rule(atom("q", "$a", "$b"), atom("s", "$a", "$n"), atom("s", "$b", "$n"), check("equal", "$a", "$b", negated=True))
+RICHER = rule(atom("q", "$a", "$b"), atom("s", "$a", "$n"), atom("s", "$b", "$n"), atom("o", "$a", "$x"), atom("o", "$b", "$y"), check("greater", "$x", "$y"))
+
+
+@pytest.mark.parametrize("made", [SAME, RICHER])
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_joins_of_many_with_many_are_dealt_in_blocks(spark, monkeypatch, made, block):
+    monkeypatch.setattr(bodies, "BLOCK", block)
+    have = [(i, i % 3 if i < 20 else 7) for i in range(29)] + [(40, 9)]
+    owed = {i: float(i * 7 % 11) for i, _ in have}
+    facts = {("s", "bare"): spark.createDataFrame(have, "x1 long, x2 int"), ("o", "bare"): spark.createDataFrame(list(owed.items()), "x1 long, x2 double")}
+    got = fixpoint.evaluate(spark, [made], facts, ["q"], keys={("s", "bare"): (1,), ("o", "bare"): (1,)}).distinct(("q", "bare"))
+    want = [(a, b) for a, m in have for b, n in have if m == n and (a != b if made is SAME else owed[a] > owed[b])]
+    assert rows(got) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("SortMergeJoin")]  # the pairs are the last join; nothing makes them distinct, and no other join reads them
+    assert "Aggregate" not in last and "Join" not in last.replace("SortMergeJoin", "")
+
+
+def test_a_supplier_number_that_stands_twice_gives_each_pair_once(spark, tmp_path):
+    first = spark.read.parquet(f"{FOLDER}/supplier.parquet").first()
+    folder = like(spark, tmp_path, supplier={"s_suppkey": first["s_suppkey"], "s_nationkey": first["s_nationkey"]})
+    assert catalog.supplier_keys(spark, folder) == {} and catalog.supplier_keys(spark, FOLDER)
+    for name in ("rule_theta_diff", "cmp_greater"):
+        got = catalog.QUERIES[name](spark, folder)
+        assert rows(got) == rows(catalog.QUERIES[name](spark, folder).distinct())
+    assert rows(catalog.QUERIES["rule_theta_diff"](spark, folder)) == rows(catalog.QUERIES["rule_theta_diff"](spark, FOLDER))
