@@ -309,7 +309,7 @@ for _op in ("sum", "min", "max", "avg"):
 @query("SELECT DISTINCT a.s_suppkey AS richer, b.s_suppkey AS poorer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_acctbal > b.s_acctbal")
 def cmp_greater(spark, sf_dir):
     body = (atom("supplier", "$a", "$n"), atom("supplier", "$b", "$n"), atom("owed", "$a", "$x"), atom("owed", "$b", "$y"), check("greater", "$x", "$y"))
-    return solved(spark, sf_dir, [rule(atom("q", "$a", "$b"), *body)], "q", ["richer", "poorer"])
+    return solved(spark, sf_dir, [rule(atom("q", "$a", "$b"), *body)], "q", ["richer", "poorer"], keys=supplier_keys(spark, sf_dir))
 
 
 def _small(spark):
