@@ -59,3 +59,29 @@ def test_a_supplier_number_that_stands_twice_gives_each_pair_once(spark, tmp_pat
         got = catalog.QUERIES[name](spark, folder)
         assert rows(got) == rows(catalog.QUERIES[name](spark, folder).distinct())
     assert rows(catalog.QUERIES["rule_theta_diff"](spark, folder)) == rows(catalog.QUERIES["rule_theta_diff"](spark, FOLDER))
+
+
+LINEAR = [rule(atom("r", "$x", "$y"), atom("e", "$x", "$y")), rule(atom("r", "$x", "$z"), atom("r", "$x", "$y"), atom("e", "$y", "$z"))]
+
+
+@pytest.mark.parametrize("few", [0, 4, 10_000])
+def test_rounds_broadcast_nothing_but_small_deltas(spark, monkeypatch, few):
+    monkeypatch.setattr(fixpoint, "FEW", few)
+    monkeypatch.setattr(fixpoint, "SHARE", 2)
+    plans, write = [], fixpoint.write_path
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(fixpoint, "write_path", kept)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(2, 16)], "x1 long, x2 long")
+    model = fixpoint.evaluate(spark, LINEAR, {("e", "bare"): edges}, ["r"])
+    want = {(x, x >> k) for x in range(2, 16) for k in range(1, 4) if x >> k}
+    assert rows(model.distinct(("r", "bare"))) == sorted(want)
+    rounds = [p for p in plans if "Join" in p]
+    sizes = [len({p for p in want if p[0].bit_length() - p[1].bit_length() == k}) for k in (1, 2, 3)]
+    assert len(rounds) == 3
+    for p, size in zip(rounds, sizes):
+        assert ("leftHint=(strategy=broadcast)" in p) == (size <= few) and ("strategy=merge" in p) == (size > few) and "rightHint=(strategy=broadcast)" not in p
+        assert "RepartitionByExpression" in p.split("Join")[0]
