@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ir import Const, Not, Rule, Var, atom, rule
 from .plans import fixpoint
+from .scratch import write_once
 from .sources.tables import relation
 
 #: The policy, authorized(who, action, resource).
@@ -78,11 +79,13 @@ class Authorizer:
         if not plain or any(x.relation == "authorized" for r in self.policy for x in (*r.positive(), *(n.atom for n in r.negative()))):
             return self.authorized()
         asked = [replace(r, body=(atom(REQUESTED, *r.heads[0].args), *r.body)) for r in self.policy]
-        known = self._facts() | {(REQUESTED, "bare"): relation(requests, "who", "action", "resource")}
+        # each rule reads the requests: they are made and made distinct once
+        known = self._facts() | {(REQUESTED, "bare"): write_once(relation(requests, "who", "action", "resource"), "asked")}
         return fixpoint.evaluate(self.spark, asked, known, ["authorized"]).relation(("authorized", "bare"))
 
     def can_any(self, requests: DataFrame) -> DataFrame:
         """The allowed ones of (who, action, resource) requests: one semi join for the whole batch."""
+        requests = write_once(requests, "requests")
         got = self._authorized_of(requests)
         if got is None:
             return requests.limit(0)
@@ -91,6 +94,7 @@ class Authorizer:
 
     def decide(self, requests: DataFrame) -> DataFrame:
         """The requests, each with whether it is ``allowed``."""
+        requests = write_once(requests, "requests")
         got = self._authorized_of(requests)
         if got is None:
             return requests.withColumn("allowed", F.lit(False))

@@ -85,3 +85,10 @@ def test_rounds_broadcast_nothing_but_small_deltas(spark, monkeypatch, few):
     for p, size in zip(rounds, sizes):
         assert ("leftHint=(strategy=broadcast)" in p) == (size <= few) and ("strategy=merge" in p) == (size > few) and "rightHint=(strategy=broadcast)" not in p
         assert "RepartitionByExpression" in p.split("Join")[0]
+
+
+def test_requests_are_made_once_for_all_rules(spark):
+    """What makes the requests is in no rule's plan, and answers stay the same."""
+    for name in ("auth_can_requests", "auth_can_batch"):
+        plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert "leader" not in plan and "explode" not in plan.lower()
