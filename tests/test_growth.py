@@ -92,3 +92,17 @@ def test_requests_are_made_once_for_all_rules(spark):
     for name in ("auth_can_requests", "auth_can_batch"):
         plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
         assert "leader" not in plan and "explode" not in plan.lower()
+
+
+def test_tails_of_one_text_are_sent_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from corollary.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SENT", 3000)
+    text = "".join(chr(97 + i * i % 26) for i in range(2000))
+    starts = [{"key": i, "lo": i} for i in range(0, 1500, 10)]
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "tk": [2], "text": [text], "spans": [[{"lo": 0, "hi": 2000}]], "starts": [starts]})
+    sent = [b.to_pylist() for b in suffix_dedup._tails(batch)]
+    assert [(r["lo"], r["tail"]) for rows in sent for r in rows] == [(s["lo"], text[s["lo"] :].encode()) for s in starts]
+    assert max(sum(len(r["tail"]) for r in rows) for rows in sent) <= 3000 + 2000
