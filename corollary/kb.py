@@ -436,7 +436,7 @@ class KB:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.where("x1 <> 'u:' AND x1 NOT LIKE 'k:%'").distinct()
+        return out.where(_individual(F.col("x1"))).distinct()
 
     # -- formulas
     def _relations(self, f) -> set[str]:
@@ -478,8 +478,7 @@ class KB:
             by = {v: c for v, c in got.names.items() if v != f.var}
             return Bindings(aggregates.exactly(got.rows, got.names[f.var], list(by.values()), f.n), by)
         if isinstance(f, Every):
-            inner = simple(Neg(Some(f.var, And((Leaf(Atom("_domain", (Var(f.var),))), Neg(f.part))))))
-            return self.rows(inner, model)
+            return self.rows(Neg(_counterexample(f)), model)
         parts = f.parts if isinstance(f, And) else (f,)
         choice = next((p for p in parts if isinstance(p, Or)), None)
         if choice is not None and math.prod(len(p.parts) for p in parts if isinstance(p, Or)) <= MAX_CLAUSES and any(isinstance(p, Leaf) and isinstance(p.item, Atom) for p in parts):
@@ -489,13 +488,13 @@ class KB:
         flat = [p.item for p in parts if isinstance(p, Leaf)]
         flat += [Not(p.part.item) for p in parts if isinstance(p, Neg) and isinstance(p.part, Leaf) and isinstance(p.part.item, Atom)]
         checks = [x for x in flat if isinstance(x, Check)] + [Check(p.part.item.op, p.part.item.args, not p.part.item.negated) for p in parts if isinstance(p, Neg) and isinstance(p.part, Leaf) and isinstance(p.part.item, Check)]
-        atoms = [x for x in flat if isinstance(x, Atom)]
+        atoms = [x for x in flat if isinstance(x, Atom) and x.relation != "_domain"]
+        individuals = {t.name for x in flat if isinstance(x, Atom) and x.relation == "_domain" for t in x.args}
         negative = [x for x in flat if isinstance(x, Not)]
         deep = [p for p in parts if not isinstance(p, Leaf) and not (isinstance(p, Neg) and isinstance(p.part, Leaf))]
         now: Bindings | None = None
-        lookup = lambda a: self.domain(model) if a.relation == "_domain" else model.lookup(a)
         if atoms:
-            got = bodies.conjunction(tuple(atoms), lookup, test=self._test)
+            got = bodies.conjunction(tuple(atoms), model.lookup, test=self._test)
             if got is None:
                 return None
             now = Bindings(*got)
@@ -504,7 +503,9 @@ class KB:
             if got is None:
                 return None
             now = got if now is None else self._join(now, got)
-        wanted = set().union(*(c.variables() for c in (*checks, *negative))) if checks or negative else set()
+        for v in sorted(individuals & set(now.names if now else ())):  # what a relation holds is in the domain, but for these
+            now = Bindings(now.rows.where(_individual(F.col(now.names[v]))), now.names)
+        wanted = individuals.union(*(c.variables() for c in (*checks, *negative)))
         for p in deep:
             wanted |= free(p) if isinstance(p, Neg) else set()
         for v in sorted(wanted - set(now.names if now else ())):
@@ -515,7 +516,7 @@ class KB:
         for c in checks:
             now = self._filtered(now, c)
         for n in negative:
-            source = lookup(n.atom)
+            source = model.lookup(n.atom)
             if source is not None:
                 part, own = bodies.scan(n.atom, source)
                 now = self._without(now, Bindings(part, own))
@@ -836,6 +837,24 @@ class KB:
         raise RuleError(f"unknown command: {word}")
 
 
+def _individual(c):
+    """Whether a term is one of the domain, given that some fact or rule has it."""
+    return (c != terms.UNSPECIFIED) & ~c.startswith("k:")
+
+
+def _counterexample(f: Every, among: frozenset = frozenset()):
+    """That some individual fails a universal claim. Claims inside it are opened too, so that what binds their variables binds them here.
+
+    ``among`` are variables that stand for individuals only. Of a claim about others, the complement is taken in the domain, unless it is all that is denied:
+    then others are what the whole is the complement of.
+    """
+    among |= {f.var}
+    failed = simple(Neg(f.part))
+    parts = failed.parts if isinstance(failed, And) else (failed,)
+    opened = [_counterexample(p.part, among) if isinstance(p, Neg) and isinstance(p.part, Every) and (len(parts) == 1 or free(p) <= among) else p for p in parts]
+    return Some(f.var, simple(And((Leaf(Atom("_domain", (Var(f.var),))), *opened))))
+
+
 def _pieces(text: str):
     """(line number, piece) of a script: commands and questions end with their line, statements with a full stop at a line's end."""
     blank = lambda m: re.sub(r"[^\n]", " ", m.group())

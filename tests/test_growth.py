@@ -5,7 +5,9 @@ import os
 import pytest
 
 from corollary.ir import atom, check, rule
+from corollary.kb import KB
 from corollary.plans import bodies, catalog, fixpoint, questions
+from corollary.vocab import Vocabulary
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -106,3 +108,31 @@ def test_tails_of_one_text_are_sent_in_bounded_batches(monkeypatch):
     sent = [b.to_pylist() for b in suffix_dedup._tails(batch)]
     assert [(r["lo"], r["tail"]) for rows in sent for r in rows] == [(s["lo"], text[s["lo"] :].encode()) for s in starts]
     assert max(sum(len(r["tail"]) for r in rows) for rows in sent) <= 3000 + 2000
+
+
+def told(spark, *facts):
+    kb = KB(spark, Vocabulary(open=True).declare("p(a); q(a); e(a, b); r(a, b)"))
+    for f in facts:
+        kb.tell(f)
+    return kb
+
+
+FACTS = ("p(1).", "p(2).", "q(2).", "q(3).", "e(1, 2).", "e(2, 3).", "e(3, 1).", "e(4).", "r(1, 2).", "r(1, 3).", "r(2, 2).")
+
+
+def test_universal_claims_read_the_relations_that_bind_them_not_the_domain(spark, monkeypatch):
+    kb = told(spark, *FACTS)
+    monkeypatch.setattr(KB, "domain", lambda *_: pytest.fail("every term of every table was read"))
+    # a place left out is no individual: e(4) is no counterexample
+    for claim, want in (("e($x, $y) -> p($y) | q($y)", "TRUE"), ("e($x, $y) -> q($y)", "FALSE"), ("r($x, $y) -> greater($y, 1)", "TRUE"), ("e($x, $y) -> greater($y, 1)", "FALSE")):
+        assert str(kb.holds(f"all $x, $y: {claim}")) == want
+
+
+def test_universal_claims_about_others_keep_their_complement(spark):
+    kb = told(spark, *FACTS, "all $x: q($x) -> r($x, some p).")
+    found = lambda text: rows(kb.find(text))
+    n = lambda *values: tuple(f"n:{v}.0" if v else "u:" for v in values)
+    assert found("all $x: e($u, $x) -> q($x)") == [n(1), n(2), n(4)]
+    assert found("e($u, $v) & (all $x: e($u, $x) -> q($x))") == [n(1, 2), n(2, 3), n(4, 0)]
+    assert found("e($u, $v) & ~(all $x, $y: r($u, $x) & e($x, $y) -> q($y))") == [n(1, 2)]  # r(1, 3) & e(3, 1), and 1 is no q
+    assert found("all $x: all $y: e($x, $y) -> r($u, $x) | e($u, $y)") == [n(1)]
