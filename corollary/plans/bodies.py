@@ -21,6 +21,9 @@ _fresh = itertools.count()
 BLOCK = 1000
 PAIRS = 20_000_000
 
+#: Rows that one task gathers by their values.
+GATHERED = 1_000_000
+
 Lookup = Callable[[Atom], DataFrame | None]
 
 
@@ -207,6 +210,56 @@ def conjunction(literals: tuple[Literal, ...], lookup: Lookup, lead: int | None
     return rows, names
 
 
+def rows_read(df: DataFrame) -> int:
+    """Rows of the Parquet files behind a plan, from their footers; 0 where it reads none. Projections, filters and sets of them have no more rows."""
+    files = [f for f in df.inputFiles() if f.endswith(".parquet")]
+    return df.sparkSession.read.schema("none int").option("recursiveFileLookup", "true").parquet(*files).count() if files else 0
+
+
+def gathered(cases: list[tuple[Literal, ...]], lookup: Lookup) -> tuple[DataFrame, dict[str, str]] | None:
+    """Bindings that satisfy one or more of several conjunctions, each once; None unless all their literals are atoms over the same variables.
+
+    Each relation is read once, for all cases, and may hold a row several times. Rows of one binding meet in one aggregation, which tells the relations
+    that have it, without joins or sorts. It is dealt by the number of rows: AQE would merge partitions by their bytes, which say little of packed keys.
+    """
+    literals = [x for c in cases for x in c]
+    if not all(isinstance(x, (Atom, Not)) for x in literals):
+        return None
+    variables = sorted(literals[0].variables())
+    if not variables or any(x.variables() != set(variables) for x in literals):
+        return None
+    sources: dict[Atom, DataFrame] = {}
+    for a in dict.fromkeys(x.atom if isinstance(x, Not) else x for x in literals):
+        found = lookup(a)
+        if found is not None:
+            sources[a] = found
+    cases = [c for c in cases if all(x in sources for x in c if isinstance(x, Atom))]
+    used = list(dict.fromkeys(a for c in cases for x in c for a in [x.atom if isinstance(x, Not) else x] if a in sources))
+    if len(cases) < 2 or len(used) > 62 or not all(any(isinstance(x, Atom) for x in c) for c in cases):
+        return None
+    mark = f"g{next(_fresh)}"
+    names = {v: f"{mark}_{i}" for i, v in enumerate(variables)}
+    columns = list(names.values())
+    rows, number = None, 0
+    for i, a in enumerate(used):
+        part, own = scan(a, sources[a])
+        part = part.select(*(F.col(own[v]).alias(names[v]) for v in variables), F.lit(1 << i).cast("bigint").alias(mark))
+        if rows is not None and part.dtypes != rows.dtypes:
+            return None
+        number += rows_read(sources[a])
+        rows = part if rows is None else rows.unionByName(part)
+    number = number // GATHERED + 1
+    enough = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(*columns) if number == 1 else rows.repartition(max(number, min(4 * number, enough)), *columns)
+    test = F.lit(False)
+    for c in cases:
+        has = sum(1 << used.index(x) for x in dict.fromkeys(c) if isinstance(x, Atom))
+        lacks = sum(1 << used.index(a) for a in dict.fromkeys(x.atom for x in c if isinstance(x, Not)) if a in used)
+        if not has & lacks:
+            test |= F.col(mark).bitwiseAND(F.lit(has | lacks).cast("bigint")) == has
+    return rows.groupBy(*columns).agg(F.bit_or(mark).alias(mark)).where(test).drop(mark), names
+
+
 def heads(r: Rule, rows: DataFrame, names: dict[str, str]) -> dict[tuple[str, str], DataFrame]:
     """Rows that the rule concludes, by (relation, flavor). Invented terms are hashes of what they depend on."""
     out: dict[tuple[str, str], DataFrame] = {}

@@ -58,15 +58,17 @@ class Model:
     keys: dict[Key, tuple[int, ...]] = field(default_factory=dict)
     #: Rows of the folders that rounds wrote.
     counts: dict[str, int] = field(default_factory=dict)
+    #: The rows of views before they were made distinct, for what does not mind rows that stand there twice.
+    repeated: dict[Key, DataFrame] = field(default_factory=dict)
 
-    def relation(self, key: Key) -> DataFrame | None:
-        """Rows of a relation so far: its facts and what was derived; None if there can be none."""
+    def relation(self, key: Key, repeated: bool = False) -> DataFrame | None:
+        """Rows of a relation so far: its facts and what was derived; None if there can be none. ``repeated`` allows equal rows."""
         parts = [self.facts[key]] if key in self.facts else []
         if self.paths.get(key):
             read = self.spark.read.schema(self.schemas[key]).parquet(*self.paths[key])
             parts.append(read.drop("round"))
         if key in self.views:
-            parts.append(self.views[key])
+            parts.append(self.repeated.get(key, self.views[key]) if repeated else self.views[key])
         if not parts:
             return None
         out = parts[0]
@@ -85,9 +87,9 @@ class Model:
             return None
         return self.spark.read.schema(self.schemas[key]).parquet(*self.paths[key])
 
-    def lookup(self, a: Atom) -> DataFrame | None:
+    def lookup(self, a: Atom, repeated: bool = False) -> DataFrame | None:
         """The relation that holds all matches of an atom."""
-        return self.relation(self.answers.get((a.key, demand.pattern(a)), a.key))
+        return self.relation(self.answers.get((a.key, demand.pattern(a)), a.key), repeated)
 
 
 def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFrame], wanted: Iterable[str] | None = None, limits: Limits | None = None, test=condition, goals: Iterable[Atom] = (), keys: dict[Key, tuple[int, ...]] | None = None) -> Model:
@@ -130,20 +132,28 @@ def evaluate(spark: SparkSession, rules: Iterable[Rule], facts: dict[Key, DataFr
 
 
 def _plain(model: Model, rules: list[Rule], inside: set[str]) -> None:
-    """A relation that does not depend on itself: the union of its rules' plans."""
+    """A relation that does not depend on itself: the union of its rules' plans. Rules that are cases of one are gathered."""
     made: dict[Key, list[DataFrame]] = {}
+    sets: set[Key] = set()
+    alike: dict[object, list[Rule]] = {}
     for r in rules:
-        got = bodies.conjunction(r.body, model.lookup, test=model.test, keys=model.keys)
+        alike.setdefault(r.identity() if r.invents else r.heads, []).append(r)
+    for group in alike.values():
+        got = bodies.gathered([r.body for r in group], lambda a: model.lookup(a, repeated=True)) if len(group) > 1 else None
         if got is not None:
-            for key, rows in bodies.heads(r, *got).items():
-                if key[0] in inside:
-                    made.setdefault(key, []).append(rows)
+            sets |= {h.key for h in group[0].heads if len(rules) == len(group) and len(group[0].heads) == 1 and h.variables() == set(got[1])}
+        for r, found in [(group[0], got)] if got is not None else [(r, bodies.conjunction(r.body, model.lookup, test=model.test, keys=model.keys)) for r in group]:
+            if found is not None:
+                for key, rows in bodies.heads(r, *found).items():
+                    if key[0] in inside:
+                        made.setdefault(key, []).append(rows)
     for key, parts in made.items():
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
         own = [(r, h) for r in rules for h in r.heads if h.key == key]
-        model.views[key] = rows if len(own) == 1 and _once(model, *own[0]) else rows.distinct()
+        model.views[key] = rows if key in sets or len(own) == 1 and _once(model, *own[0]) else rows.distinct()
+        model.repeated[key] = rows
 
 
 def _once(model: Model, r: Rule, head: Atom) -> bool:

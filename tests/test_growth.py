@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from corollary.ir import atom, check, rule
+from corollary.ir import atom, check, naf, rule
 from corollary.kb import KB
 from corollary.plans import bodies, catalog, fixpoint, questions
 from corollary.vocab import Vocabulary
@@ -136,3 +136,40 @@ def test_universal_claims_about_others_keep_their_complement(spark):
     assert found("e($u, $v) & (all $x: e($u, $x) -> q($x))") == [n(1, 2), n(2, 3), n(4, 0)]
     assert found("e($u, $v) & ~(all $x, $y: r($u, $x) & e($x, $y) -> q($y))") == [n(1, 2)]  # r(1, 3) & e(3, 1), and 1 is no q
     assert found("all $x: all $y: e($x, $y) -> r($u, $x) | e($u, $y)") == [n(1)]
+
+
+@pytest.mark.parametrize("share", [1, 5, 1_000_000])
+@pytest.mark.parametrize("cases", [["+-", "-+"], ["--", "+-", "++"], ["+x", "-+"], ["+a", "-+"], ["--", "-+", "+-", "++"]])
+def test_cases_of_one_rule_are_gathered_by_one_aggregation_dealt_by_rows(spark, tmp_path, monkeypatch, share, cases):
+    monkeypatch.setattr(bodies, "GATHERED", share)
+    have = {"o": [(i, i % 3) for i in range(20)], "a": [(i, i % 3) for i in range(0, 30, 2)], "b": [(i, j) for i in range(0, 30, 3) for j in (i % 3, 5)]}
+    facts = {}
+    for name, found in have.items():
+        spark.createDataFrame(found + found[:4], "x1 long, x2 long").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")  # some rows stand there twice
+        facts[name, "bare"] = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    # "x" is a relation without rows, "a" in the second place contradicts the first
+    second = {"+": atom("b", "$y", "$z"), "-": naf("b", "$y", "$z"), "x": naf("nothing", "$y", "$z"), "a": naf("a", "$y", "$z")}
+    first = {"+": atom("a", "$y", "$z"), "-": naf("a", "$y", "$z")}
+    rules = [rule(atom("q", "$z", "$y"), atom("o", "$y", "$z"), first[c[0]], second[c[1]]) for c in cases]
+    got = fixpoint.evaluate(spark, rules, facts, ["q"]).distinct(("q", "bare"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sets = {n: set(v) for n, v in have.items()} | {"x": set()}
+    member = lambda row, c: (row in sets["a"]) == (c[0] == "+") and {"+": row in sets["b"], "-": row not in sets["b"], "x": True, "a": row not in sets["a"]}[c[1]]
+    assert rows(got) == sorted(r[::-1] for r in sets["o"] if any(member(r, c) for c in cases))
+    read = sum(len(have[n]) + 4 for n in "oab" if n != "b" or any(c[1] in "+-" for c in cases))
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert share > 1 or f", {read + 1})" in plan
+
+
+def test_cases_that_are_not_alike_are_joined(spark):
+    facts = {("o", "bare"): spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "x1 long, x2 long"), ("a", "bare"): spark.createDataFrame([(1,)], "x1 int")}
+    rules = [rule(atom("q", "$y"), atom("o", "$y", "$z"), naf("a", "$y")), rule(atom("q", "$y"), atom("o", "$y", "$z"), atom("a", "$z"), check("greater", "$y", 1))]
+    assert rows(fixpoint.evaluate(spark, rules, facts, ["q"]).distinct(("q", "bare"))) == [(2,), (3,)]
+    rules = [rule(atom("q", "$y"), atom("p", "$y"), naf("a", "$y")), rule(atom("q", "$y"), atom("p", "$y"), atom("a", "$y")), rule(atom("p", "$y"), atom("o", "$y", "$z"))]
+    assert rows(fixpoint.evaluate(spark, rules, facts, ["q"]).distinct(("q", "bare"))) == [(1,), (2,), (3,)]  # long and int are one number
+
+
+def test_implications_over_tables_stay_one_aggregation_each(spark):
+    for name in ("implication_expand", "xor_expand", "iff_expand"):
+        plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
