@@ -567,6 +567,10 @@ class KB:
 
     def _union(self, f: Or, model: fixpoint.Model) -> Bindings | None:
         every = sorted(free(f))
+        cases = [_literals(p) for p in f.parts]
+        got = None if None in cases else bodies.gathered(cases, lambda a: model.lookup(a, repeated=True))
+        if got is not None:
+            return Bindings(*got)
         out = None
         mark = f"o{next(bodies._fresh)}"
         for p in f.parts:
@@ -842,6 +846,15 @@ def _individual(c):
     return (c != terms.UNSPECIFIED) & ~c.startswith("k:")
 
 
+def _literals(f) -> tuple | None:
+    """A conjunction of plain and negated atoms as a rule's body; None for any other formula, or where all are negated."""
+    parts = f.parts if isinstance(f, And) else (f,)
+    out = [p.part.item if isinstance(p, Neg) and isinstance(p.part, Leaf) else p.item if isinstance(p, Leaf) else None for p in parts]
+    if any(not isinstance(x, Atom) or x.relation == "_domain" for x in out) or not any(isinstance(p, Leaf) for p in parts):
+        return None
+    return tuple(Not(x) if isinstance(p, Neg) else x for p, x in zip(parts, out))
+
+
 def _counterexample(f: Every, among: frozenset = frozenset()):
     """That some individual fails a universal claim. Claims inside it are opened too, so that what binds their variables binds them here.
 

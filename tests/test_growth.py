@@ -173,3 +173,11 @@ def test_implications_over_tables_stay_one_aggregation_each(spark):
     for name in ("implication_expand", "xor_expand", "iff_expand"):
         plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_cases_of_a_question_are_gathered(spark):
+    kb = told(spark, *FACTS, "p(9).", "q(9).")
+    n = lambda v: (f"n:{v}.0",)
+    for claim, want in (("p($x) & (q($x) -> r($x, $x))", [n(1), n(2)]), ("p($x) & (q($x) <-> p($x))", [n(2), n(9)]), ("q($x) & (p($x) ^ ~q($x))", [n(2), n(9)])):
+        assert rows(kb.find(claim)) == want
+        assert "Join" not in kb.plan(claim)._jdf.queryExecution().executedPlan().toString()
